@@ -2,7 +2,7 @@
 
 import importlib
 
-THEMES = ["activity"]
+THEMES = ["activity", "features"]
 
 
 def load_all():

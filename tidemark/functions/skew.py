@@ -159,23 +159,22 @@ def quantiles(
     return result.drop("_all")
 
 
-def modes(df: DataFrame, keys: Sequence[str], attributes: Mapping[str, Column]) -> DataFrame:
+def modes(df: DataFrame, keys: Sequence[str], attributes: Mapping[str, Column], distinct: Sequence[str] = ()) -> DataFrame:
     """Most frequent non-null value of each attribute per key; smallest value on ties.
 
-    All attributes share one shuffle of pre-aggregated (key, value) counts.
+    All attributes share one shuffle of pre-aggregated (key, value) counts. Names in
+    `distinct` also get a column `n_<name>` with their number of distinct values.
     """
     names = list(attributes)
     base = df.select(*keys, *[expr.alias(n) for n, expr in attributes.items()])
     counts = base.groupingSets([[*keys, n] for n in names], *keys, *names).agg(
         F.count(F.lit(1)).alias("_n"), *[F.grouping(n).alias(f"_g_{n}") for n in names]
     )
-    best = [
-        F.min(F.when((F.col(f"_g_{n}") == 0) & F.col(n).isNotNull(), F.struct((-F.col("_n")).alias("o"), F.col(n).alias("v"))))
-        .getField("v")
-        .alias(n)
-        for n in names
-    ]
-    return counts.groupBy(*keys).agg(*best)
+    mine = {n: (F.col(f"_g_{n}") == 0) & F.col(n).isNotNull() for n in names}
+    best = [F.min(F.when(mine[n], F.struct((-F.col("_n")).alias("o"), F.col(n).alias("v")))).alias(n) for n in names]
+    sizes = [F.count_if(mine[n]).alias(f"n_{n}") for n in distinct]
+    packed = counts.groupBy(*keys).agg(*best, *sizes)
+    return packed.select(*keys, *[F.col(n).getField("v").alias(n) for n in names], *[f"n_{n}" for n in distinct])
 
 
 def rank_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, out: str = "rank") -> DataFrame:
