@@ -106,12 +106,14 @@ itf AS (SELECT item_id, total_events, runs, selects, copies, unique_users, uniqu
   round(rt, 6) AS avg_response_time_ms, round((runs + 1.5 * selects + 2.0 * copies) / total_events, 6) AS popularity_score,
   round(n7 / total_events, 6) AS trending_score, round(1.0 / (1 + idle), 6) AS freshness_score,
   round((selects + copies) / greatest(runs, 1), 6) AS success_rate,
-  round(0.3 * (1 - least(rt / 10000.0, 1.0)) + 0.7 * (selects + copies) / greatest(runs, 1), 6) AS quality_score FROM b)"""
-ITEM_ROUND = ["avg_response_time_ms", "popularity_score", "trending_score", "freshness_score", "success_rate", "quality_score", "retention_rate"]
+  round(0.3 * (1 - least(rt / 10000.0, 1.0)) + 0.7 * (selects + copies) / greatest(runs, 1), 4) AS quality_score FROM b)"""
+ITEM_ROUND = ["avg_response_time_ms", "popularity_score", "trending_score", "freshness_score", "success_rate", "retention_rate"]
 
 
 def item_feats(spark, d):
-    return E.item_features(interactions(spark, d)).withColumns({c: F.round(c, 6) for c in ITEM_ROUND})
+    return E.item_features(interactions(spark, d)).withColumns(
+        {**{c: F.round(c, 6) for c in ITEM_ROUND}, "quality_score": F.round("quality_score", 4)}
+    )
 
 
 @query("item_features", f"""WITH {ITEM_BASE} SELECT itf.*, retention_rate, peak_hour, peak_weekday FROM itf JOIN ret USING (item_id)
@@ -432,7 +434,7 @@ def _(spark, d):
 @query("user_latest_context", f"""
 WITH {SESSIONS},
 le AS (SELECT * FROM interactions QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_time DESC, id DESC) = 1),
-ss AS (SELECT user_id, session_no, count(*) AS n, (epoch_us(max(event_time)) - epoch_us(min(event_time))) / 60000000.0 AS m FROM ev GROUP BY ALL
+ss AS (SELECT user_id, session_no, count(*) AS n, (epoch_us(max(event_time)) - epoch_us(min(event_time))) / 60000000.0 AS m FROM ev GROUP BY user_id, session_no
        QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY session_no DESC) = 1),
 td AS (SELECT user_id, count(DISTINCT tone) AS tone_diversity FROM interactions GROUP BY 1)
 SELECT user_id, {TOD_SQL.format('le.event_time')} AS time_of_day, n AS events_in_session, round(m, 4) AS session_minutes, le.event_name AS last_event,
@@ -527,8 +529,8 @@ SELECT item_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q
   round((list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(qv AS DOUBLE[])) + 1) / 2, 5) AS unit FROM items, q WHERE embedding IS NOT NULL""")
 def _(spark, d):
     it = items(spark, d).filter(F.col("embedding").isNotNull())
-    first = it.filter("item_id = 0").select("embedding").scalar()
-    scored = it.withColumn("raw", vectors.cosine(F.col("embedding"), first))
+    first = it.filter("item_id = 0").select("embedding").first()[0]
+    scored = it.withColumn("raw", vectors.cosine(F.col("embedding"), F.lit(first)))
     return scored.select("item_id", F.round("raw", 5).alias("raw"), F.round((F.col("raw") + 1) / 2, 5).alias("unit"))
 
 

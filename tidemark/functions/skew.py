@@ -24,32 +24,36 @@ MAX_HOT_KEYS = 100_000
 
 def hot_keys(
     df: DataFrame, keys: Sequence[str], min_rows: int | None = None, max_keys: int | None = None
-) -> DataFrame:
-    """Keys with more than max(min_rows, total / max_keys) rows.
+) -> DataFrame | None:
+    """The at most `max_keys` largest keys with more than `min_rows` rows, or None without any.
 
-    At most `max_keys` keys can each hold more than a 1/max_keys share, so the result
-    is safe to broadcast whatever the size of `df`.
+    This is a statistics job that runs when the plan is built: one scan of the key
+    columns, combined on the map side, and a bounded top-n. A key outside the top
+    `max_keys` holds less than a 1/max_keys share of the rows, so nothing large is missed.
+    The result is small enough to broadcast whatever the size of `df`.
     """
     min_rows = MIN_HOT_ROWS if min_rows is None else min_rows
     max_keys = MAX_HOT_KEYS if max_keys is None else max_keys
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n")).scalar()
-    return counts.filter(F.col("_n") > F.greatest(F.lit(float(min_rows)), total / F.lit(max_keys))).select(*keys)
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > min_rows)
+    found = counts.orderBy(F.desc("_n")).limit(max_keys).select(*keys)
+    rows = found.collect()
+    return df.sparkSession.createDataFrame(rows, found.schema) if rows else None
 
 
 def slice_hot(
     df: DataFrame, keys: Sequence[str], ts: str, slice_seconds: int = 300, min_rows: int | None = None
 ) -> DataFrame:
-    """Adds `_slice`: 0 for ordinary keys, the number of the time slice for hot ones."""
-    hot = hot_keys(df.select(*keys), keys, min_rows).withColumn("_hot", F.lit(True))
+    """Adds `_slice` when some key is hot: 0 for ordinary keys, the time slice number for hot ones.
+
+    Without hot keys the rows come back as they are and the helpers below are plain windows.
+    """
+    hot = hot_keys(df.select(*keys), keys, min_rows)
+    if hot is None:
+        return df
+    number = F.floor(F.unix_micros(ts) / F.lit(slice_seconds * 1_000_000))
     return (
-        df.join(F.broadcast(hot), list(keys), "left")
-        .withColumn(
-            "_slice",
-            F.when(F.col("_hot"), F.floor(F.unix_micros(ts) / F.lit(slice_seconds * 1_000_000))).otherwise(
-                F.lit(0).cast("bigint")
-            ),
-        )
+        df.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), list(keys), "left")
+        .withColumn("_slice", F.when(F.col("_hot"), number).otherwise(F.lit(0).cast("bigint")))
         .drop("_hot")
     )
 
@@ -66,34 +70,37 @@ def lag_in_slices(df: DataFrame, keys: Sequence[str], order: Sequence[str], colu
     of the slice before it, which is looked up from one row per (key, slice).
     `_first` marks rows without any predecessor.
     """
-    w = W.partitionBy(*keys, "_slice").orderBy(*order)
     packed = F.struct(*[F.col(c).alias(out) for out, c in columns.items()])
-    position = F.struct(*[F.col(c) for c in order])
-    last = (
-        _carry(df, keys, [F.max_by(packed, position).alias("_last")])
-        .withColumn("_before", F.lag("_last").over(W.partitionBy(*keys).orderBy("_slice")))
-        .drop("_last")
-    )
-    joined = df.withColumn("_lag", F.lag(packed).over(w)).join(last, [*keys, "_slice"], "left")
-    prev = F.coalesce(F.col("_lag"), F.col("_before"))
-    joined = joined.withColumn("_prev", prev)
+    if "_slice" not in df.columns:
+        joined = df.withColumn("_prev", F.lag(packed).over(W.partitionBy(*keys).orderBy(*order)))
+    else:
+        w = W.partitionBy(*keys, "_slice").orderBy(*order)
+        position = F.struct(*[F.col(c) for c in order])
+        last = (
+            _carry(df, keys, [F.max_by(packed, position).alias("_last")])
+            .withColumn("_before", F.lag("_last").over(W.partitionBy(*keys).orderBy("_slice")))
+            .drop("_last")
+        )
+        joined = df.withColumn("_lag", F.lag(packed).over(w)).join(last, [*keys, "_slice"], "left")
+        joined = joined.withColumn("_prev", F.coalesce("_lag", "_before")).drop("_lag", "_before")
     return joined.select(
-        "*", F.col("_prev").isNull().alias("_first"), *[F.col("_prev")[out].alias(out) for out in columns]
-    ).drop("_lag", "_before", "_prev")
+        *df.columns, F.col("_prev").isNull().alias("_first"), *[F.col("_prev")[out].alias(out) for out in columns]
+    )
 
 
 def running_in_slices(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Mapping[str, Column]) -> DataFrame:
     """Adds `out = sum(expr)` from the first row of the key up to the current row."""
+    kept = [c for c in df.columns if c not in columns]
+    if "_slice" not in df.columns:
+        w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+        return df.select(*kept, *[F.sum(expr).over(w).alias(out) for out, expr in columns.items()])
     w = W.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     totals = _carry(df, keys, [F.sum(expr).alias(f"_t_{out}") for out, expr in columns.items()])
     totals = totals.select(*keys, "_slice", *[F.sum(f"_t_{o}").over(before).alias(f"_b_{o}") for o in columns])
     local = df.select("*", *[F.sum(expr).over(w).alias(f"_w_{out}") for out, expr in columns.items()])
     joined = local.join(totals, [*keys, "_slice"], "left")
-    return joined.select(
-        *[c for c in df.columns if c not in columns],
-        *[(F.col(f"_w_{o}") + F.coalesce(F.col(f"_b_{o}"), F.lit(0))).alias(o) for o in columns],
-    )
+    return joined.select(*kept, *[(F.col(f"_w_{o}") + F.coalesce(F.col(f"_b_{o}"), F.lit(0))).alias(o) for o in columns])
 
 
 def quantiles(
@@ -116,9 +123,11 @@ def quantiles(
         data, keys = data.withColumn("_all", F.lit(1)), ["_all"]
     names, ps = list(probs), [float(p) for p in probs.values()]
     hot = hot_keys(data.select(*keys), keys, min_rows)
-    small = data.join(F.broadcast(hot), keys, "left_anti")
+    small = data if hot is None else data.join(F.broadcast(hot), keys, "left_anti")
     exact = small.groupBy(*keys).agg(F.percentile("_v", ps).alias("_q"))
     exact = exact.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+    if hot is None:
+        return exact.drop("_all")
 
     big = data.join(F.broadcast(hot), keys, "left_semi")
     eps = 2.0 / accuracy

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ EMBEDDING_SIZE = 128
 USER_SHARE = 0.7
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with `value` evaluated once per row, however often `use` mentions it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _sum_products(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -26,19 +33,23 @@ def cosine(a: Column, b: Column, mode: str = "raw") -> Column:
     mode "raw" is [-1, 1], "clip" cuts negatives to 0, "unit" maps to [0, 1].
     """
     size = F.least(F.size(a), F.size(b))
-    pa, pb = F.slice(a, F.lit(1), size), F.slice(b, F.lit(1), size)
-    norm = F.sqrt(_sum_products(pa, pa) * _sum_products(pb, pb))
-    cos = F.when(a.isNotNull() & b.isNotNull() & (size > 0) & (norm > 0), _sum_products(pa, pb) / norm)
-    cos = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos))
-    cos = F.when(a.isNotNull() & b.isNotNull() & (norm > 0), cos)
-    if mode == "clip":
-        return F.when(cos < 0, 0.0).otherwise(cos)
-    return (cos + 1.0) / 2.0 if mode == "unit" else cos
+
+    def ratio(pair: Column) -> Column:
+        norm = F.sqrt(_sum_products(pair["a"], pair["a"]) * _sum_products(pair["b"], pair["b"]))
+        return let(norm, lambda n: F.when(n > 0, _sum_products(pair["a"], pair["b"]) / n))
+
+    prefix = F.struct(F.slice(a, F.lit(1), size).alias("a"), F.slice(b, F.lit(1), size).alias("b"))
+    cos = F.when(a.isNotNull() & b.isNotNull() & (size > 0), let(prefix, ratio))
+    low = -1.0 if mode == "raw" else 0.0
+    view = (lambda c: (c + 1.0) / 2.0) if mode == "unit" else (lambda c: c)
+    return let(cos, lambda c: F.when(c.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(1.0), view(c)))))
 
 
 def unit_length(vec: Column) -> Column:
-    norm = F.sqrt(_sum_products(vec, vec))
-    return F.when(norm > 0, F.transform(vec, lambda x: x / norm)).otherwise(vec)
+    def scaled(v: Column) -> Column:
+        return let(F.sqrt(_sum_products(v, v)), lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v))
+
+    return let(vec, scaled)
 
 
 def _hot(value: Column, slots: list[str]) -> list[Column]:

@@ -44,6 +44,20 @@ def sessionise(
     return skew.running_in_slices(marked, USER, ORDER, {"_split": F.col("_split")}).withColumnRenamed("_split", "session_no")
 
 
+def _plain_median(columns: Sequence[str]) -> Column:
+    gap = F.when(F.col("_slice") == 0, F.col("gap")) if "_slice" in columns else F.col("gap")
+    return F.percentile(gap, 0.5).alias("median_gap")
+
+
+def _hot_medians(stats: DataFrame, rows: DataFrame, keys: Sequence[str], min_hot_rows: int | None) -> DataFrame:
+    """Fills median_gap for users whose rows are sliced; all others got it from the built-in aggregate."""
+    if "_slice" not in rows.columns:
+        return stats
+    hot = skew.quantiles(rows.filter(F.col("_slice") != 0), keys, "gap", {"_hot_median": 0.5}, min_rows=min_hot_rows)
+    joined = stats.join(hot, list(keys), "left")
+    return joined.withColumn("median_gap", F.coalesce("median_gap", "_hot_median")).drop("_hot_median")
+
+
 def session_features(events: DataFrame, include_entry_gap: bool = True, min_hot_rows: int | None = None) -> DataFrame:
     """One row per session.
 
@@ -62,30 +76,36 @@ def session_features(events: DataFrame, include_entry_gap: bool = True, min_hot_
     rows = rows.withColumn("gap", gap)
     runs = F.col("event_name").isin("run_paraphrasing", "editor_run_paraphrasing")
     selects = F.col("event_name").isin("selected_paraphrasing", "editor_selected_paraphrasing")
-    base = rows.groupBy(*key).agg(
+    # One pass: each event counts for its session and for its (session, event name), (session,
+    # item) and (session, tone), from which the map and the distinct counts follow.
+    parts = rows.withColumns({"item": F.col("item_id")}).groupingSets(
+        [key, [*key, "event_name"], [*key, "item"], [*key, "tone"]], *key, "event_name", "item", "tone"
+    )
+    cells = parts.agg(
+        F.grouping_id().alias("g"),
         F.min("event_time").alias("session_start"),
         F.max("event_time").alias("session_end"),
-        F.count(F.lit(1)).alias("events"),
-        F.count_if(runs).alias("runs"),
-        F.count_if(selects).alias("selects"),
-        F.count_if(F.col("event_name") == "copy_sentence").alias("copies"),
+        F.count(F.lit(1)).alias("n"),
         *[changes(c) for c in attrs],
         F.avg("response_time_ms").alias("avg_response_time_ms"),
         F.avg("gap").alias("avg_gap"),
         F.max("gap").alias("max_gap"),
+        _plain_median(rows.columns),
     )
-    # Distinct values and the event-count map from pre-aggregated (session, value) counts.
-    sets = skew.modes(rows, key, {"item": F.col("item_id"), "tone": F.col("tone")}, distinct=["item", "tone"])
-    kinds = rows.groupBy(*key, "event_name").agg(F.count(F.lit(1)).alias("n"))
-    dist = kinds.groupBy(*key).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("event_name", "n")))).alias("event_counts")
-    )
-    medians = skew.quantiles(rows, key, "gap", {"median_gap": 0.5}, min_rows=min_hot_rows)
-    wide = (
-        base.join(sets.select(*key, F.col("n_item").alias("unique_items"), F.col("n_tone").alias("tone_diversity")), key)
-        .join(dist, key)
-        .join(medians, key, "left")
+    whole, by_name, by_item, by_tone = (F.col("g") == g for g in (7, 3, 5, 6))
+    direct = ["session_start", "session_end", *[f"{c.removesuffix('_id')}_changes" for c in attrs]]
+    direct += ["avg_response_time_ms", "avg_gap", "max_gap", "median_gap"]
+    wide = cells.groupBy(*key).agg(
+        *[F.max(F.when(whole, F.col(c))).alias(c) for c in direct],
+        F.sum(F.when(whole, F.col("n"))).alias("events"),
+        F.sum(F.when(by_name & runs, F.col("n")).otherwise(0)).alias("runs"),
+        F.sum(F.when(by_name & selects, F.col("n")).otherwise(0)).alias("selects"),
+        F.sum(F.when(by_name & (F.col("event_name") == "copy_sentence"), F.col("n")).otherwise(0)).alias("copies"),
+        F.count_if(by_item & F.col("item").isNotNull()).alias("unique_items"),
+        F.count_if(by_tone & F.col("tone").isNotNull()).alias("tone_diversity"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.when(by_name, F.struct("event_name", "n"))))).alias("event_counts"),
     )
+    wide = _hot_medians(wide, rows, key, min_hot_rows)
     minutes = tf.seconds_between(F.col("session_start"), F.col("session_end")) / 60.0
     hour = F.hour("session_start")
     return (
@@ -161,17 +181,18 @@ def gap_statistics(
     """Gaps between consecutive events in the window; zeros for users with fewer than two events."""
     recent = events.select("user_id", "id", "event_time").filter(tf.since("event_time", as_of, days=days))
     prev = with_previous(recent, ["event_time"], min_hot_rows).filter(~F.col("_first"))
-    gaps = prev.select("user_id", (tf.seconds_between(F.col("prev_event_time"), F.col("event_time")) / 60.0).alias("gap"))
+    gap = tf.seconds_between(F.col("prev_event_time"), F.col("event_time")) / 60.0
+    gaps = prev.select("user_id", *[c for c in prev.columns if c == "_slice"], gap.alias("gap"))
     stats = gaps.groupBy("user_id").agg(
         F.avg("gap").alias("avg_gap"),
         F.min("gap").alias("min_gap"),
         F.max("gap").alias("max_gap"),
         F.stddev_pop("gap").alias("std_gap"),
         F.count(F.lit(1)).alias("gaps"),
+        _plain_median(gaps.columns),
     )
-    med = skew.quantiles(gaps, USER, "gap", {"median_gap": 0.5}, min_rows=min_hot_rows)
-    full = users.select("user_id").join(stats, "user_id", "left").join(med, "user_id", "left")
-    return full.fillna(0)
+    stats = _hot_medians(stats, gaps, USER, min_hot_rows)
+    return users.select("user_id").join(stats, "user_id", "left").fillna(0)
 
 
 def context_switches(events: DataFrame, as_of: str = AS_OF, days: int = 30, min_hot_rows: int | None = None) -> DataFrame:

@@ -67,35 +67,41 @@ def share_map(shares: Column) -> Column:
     return F.map_from_entries(F.filter(slots, lambda e: e["share"] > 0))
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+def _dot(a: Column, b: Column, size: int) -> Column:
+    # The sizes are fixed (24 hours, 7 days), so plain arithmetic stays inside generated code.
+    out = a[0] * b[0]
+    for i in range(1, size):
+        out = out + a[i] * b[i]
+    return out
 
 
-def _match(a: Column, b: Column) -> Column:
-    cos = dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), (cos + 1.0) / 2.0))
+def _with_lengths(patterns: DataFrame, key: str, prefix: str) -> DataFrame:
+    h, d = F.col("hour_shares"), F.col("weekday_shares")
+    return patterns.select(
+        key,
+        h.alias(f"{prefix}h"),
+        d.alias(f"{prefix}d"),
+        F.sqrt(_dot(h, h, 24)).alias(f"{prefix}hn"),
+        F.sqrt(_dot(d, d, 7)).alias(f"{prefix}dn"),
+        F.col("peak_hour").alias(f"{prefix}_peak"),
+    )
 
 
-def affinity(
-    user_hours: Column, user_days: Column, item_hours: Column, item_days: Column, peak_hour: Column, now_hour: int | None
-) -> Column:
-    """0.7 hour match + 0.3 weekday match; 0.5 when either side has no history.
+def pair_affinity(pairs: DataFrame, user_patterns: DataFrame, item_patterns: DataFrame, now_hour: int | None) -> DataFrame:
+    """Affinity of given (user_id, item_id) pairs.
 
-    Near the user's peak hour the value is scaled by 1 - 0.2 * distance / 3, so the
-    adjustment can only lower it.
+    0.7 hour match + 0.3 weekday match, each (cosine + 1) / 2; 0.5 when either side has no
+    history. Near the user's peak hour the value is scaled by 1 - 0.2 * distance / 3, so
+    that adjustment can only lower it.
     """
-    base = 0.7 * _match(user_hours, item_hours) + 0.3 * _match(user_days, item_days)
-    if now_hour is not None:
-        dist = tf.circular_hours(F.lit(now_hour), peak_hour)
-        base = base * F.when(dist <= 2, 1.0 - dist / 3.0 * 0.2).otherwise(1.0)
-    known = user_hours.isNotNull() & item_hours.isNotNull()
-    return F.when(known, F.least(F.lit(1.0), F.greatest(F.lit(0.0), base))).otherwise(0.5)
-
-
-def pair_affinity(pairs: DataFrame, user_patterns: DataFrame, item_patterns: DataFrame, now_hour: int | None) -> DataFrame:
-    """Affinity of given (user_id, item_id) pairs."""
-    u = user_patterns.select("user_id", F.col("hour_shares").alias("uh"), F.col("weekday_shares").alias("ud"), "peak_hour")
-    i = item_patterns.select("item_id", F.col("hour_shares").alias("ih"), F.col("weekday_shares").alias("id_"))
+    u, i = _with_lengths(user_patterns, "user_id", "u"), _with_lengths(item_patterns, "item_id", "i")
     joined = pairs.join(u, "user_id", "left").join(i, "item_id", "left")
     c = F.col
-    return joined.select(*pairs.columns, affinity(c("uh"), c("ud"), c("ih"), c("id_"), c("peak_hour"), now_hour).alias("affinity"))
+    hours = (_dot(c("uh"), c("ih"), 24) / (c("uhn") * c("ihn")) + 1.0) / 2.0
+    days = (_dot(c("ud"), c("id"), 7) / (c("udn") * c("idn")) + 1.0) / 2.0
+    scored = joined.select(*pairs.columns, "u_peak", (0.7 * hours + 0.3 * days).alias("_base"))
+    value = c("_base")
+    if now_hour is not None:
+        dist = tf.circular_hours(F.lit(now_hour), c("u_peak"))
+        value = value * F.when(dist <= 2, 1.0 - dist / 3.0 * 0.2).otherwise(1.0)
+    return scored.select(*pairs.columns, F.when(c("_base").isNull(), 0.5).otherwise(F.least(F.lit(1.0), value)).alias("affinity"))
