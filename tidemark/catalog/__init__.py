@@ -2,7 +2,7 @@
 
 import importlib
 
-THEMES = ["activity", "features"]
+THEMES = ["activity", "features", "recommend"]
 
 
 def load_all():
