@@ -2,7 +2,7 @@
 
 import importlib
 
-THEMES = ["activity", "features", "recommend"]
+THEMES = ["activity", "features", "recommend", "ops", "tables"]
 
 
 def load_all():
