@@ -329,7 +329,7 @@ def user_neighbours(
         if i == j:
             np.fill_diagonal(sim, 1.0)
         sim = np.round(sim, 12)
-        frames = [_best(ids_a, ids_b, sim, acc["common"], best)]
+        frames = [_best(ids_a, ids_b, sim, acc["common"], best, own=i == j)]
         if i != j:
             frames.append(_best(ids_b, ids_a, sim.T, acc["common"].T, best))
         return pd.concat(frames)
@@ -337,7 +337,7 @@ def user_neighbours(
     schema = f"user_id {key}, other_id {key}, sim double, common double"
     found = spread.groupBy("i", "j").applyInPandas(compare, schema)
     # The user itself counts towards the cut.
-    order = [F.desc("sim"), F.desc(F.col("user_id") == F.col("other_id")), F.asc("other_id")]
+    order = [F.desc(F.col("user_id") == F.col("other_id")), F.desc("sim"), F.asc("other_id")]
     ranked = skew.rank_rows(found, ["user_id"], order, k if keep_self else k + 1)
     if not keep_self:
         ranked = ranked.filter(F.col("user_id") != F.col("other_id"))
@@ -363,9 +363,15 @@ def _user_metric(metric: str, acc: dict[str, np.ndarray], sq: list[np.ndarray],
     return np.nan_to_num(out)
 
 
-def _best(rows: np.ndarray, cols: np.ndarray, sim: np.ndarray, common: np.ndarray, k: int) -> pd.DataFrame:
-    """The k best columns of each row; ids are sorted, so a stable sort breaks ties by id."""
-    order = np.argsort(-sim, axis=1, kind="stable")[:, :k]
+def _best(rows: np.ndarray, cols: np.ndarray, sim: np.ndarray, common: np.ndarray, k: int, own: bool = False) -> pd.DataFrame:
+    """The k best columns of each row; ids are sorted, so a stable sort breaks ties by id.
+
+    With `own` rows and columns are the same users, and each user's own column comes first.
+    """
+    key = -sim
+    if own:
+        np.fill_diagonal(key, -np.inf)
+    order = np.argsort(key, axis=1, kind="stable")[:, :k]
     r = np.repeat(np.arange(len(rows)), order.shape[1])
     c = order.ravel()
     return pd.DataFrame({"user_id": rows[r], "other_id": cols[c], "sim": sim[r, c], "common": common[r, c]})
