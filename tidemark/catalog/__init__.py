@@ -2,7 +2,7 @@
 
 import importlib
 
-THEMES = ["activity", "features", "recommend", "ops", "tables"]
+THEMES = ["activity", "features", "recommend", "ops", "tables", "contextual"]
 
 
 def load_all():

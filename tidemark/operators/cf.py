@@ -12,7 +12,7 @@ Pairwise products never leave a task as raw pairs:
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -282,16 +282,47 @@ def user_neighbours(
     rows grows with users x tiles x k and never with user pairs. The cut comes first and
     the filters (sim > 0, enough common items) after it.
     """
+    key = weights.schema["user_id"].dataType.simpleString()
+
+    def best(ids_a, ids_b, sim, common, own: bool) -> list[pd.DataFrame]:
+        frames = [_best(ids_a, ids_b, sim, common, k + 1, own)]
+        return frames if own else [*frames, _best(ids_b, ids_a, sim.T, common.T, k + 1)]
+
+    found = _compare_tiles(weights, metric, best, f"user_id {key}, other_id {key}, sim double, common double")
+    # The user itself counts towards the cut.
+    order = [F.desc(F.col("user_id") == F.col("other_id")), F.desc("sim"), F.asc("other_id")]
+    ranked = skew.rank_rows(found, ["user_id"], order, k if keep_self else k + 1)
+    if not keep_self:
+        ranked = ranked.filter(F.col("user_id") != F.col("other_id"))
+    good = (F.col("sim") > 0) & (F.col("common") >= min_common)
+    return ranked.filter(good).withColumn("common", F.col("common").cast("long"))
+
+
+def user_similarity_summary(weights: DataFrame, metric: str = "cosine") -> DataFrame:
+    """Mean of the positive similarities of different users, and the largest; one row per tile pair is added up."""
+
+    def tally(ids_a, ids_b, sim, common, own: bool) -> list[pd.DataFrame]:
+        if own:
+            sim = np.triu(sim, 1)
+        up = sim > 0
+        return [pd.DataFrame({"s": [sim[up].sum()], "n": [float(up.sum())], "m": [sim.max(initial=0.0)]})]
+
+    parts = _compare_tiles(weights, metric, tally, "s double, n double, m double")
+    total = parts.agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.max("m").alias("max_sim"))
+    return total.select(F.when(F.col("n") > 0, F.col("s") / F.col("n")).otherwise(0.0).alias("mean_sim"), "max_sim")
+
+
+def _compare_tiles(weights: DataFrame, metric: str, use: Callable[..., list[pd.DataFrame]], schema: str) -> DataFrame:
+    """Runs `use(ids_a, ids_b, sim, common, own)` on every pair of user tiles."""
     users = weights.select("user_id").distinct().count()
     tiles = max(1, -(-users // USER_TILE))
-    key = weights.schema["user_id"].dataType.simpleString()
-    best = k + 1
     tile = F.pmod(F.xxhash64("user_id"), F.lit(tiles)).cast("int")
     rows = weights.select("user_id", "item_id", "w", tile.alias("t"))
     # Both copies of a tile pair (i, j) with i <= j: each tile meets every tile once.
-    spread = rows.select(
-        "user_id", "item_id", "w", "t", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("o")
-    ).select("*", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"))
+    spread = rows.select("user_id", "item_id", "w", "t", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("o")).select(
+        "*", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j")
+    )
+    empty = pd.DataFrame({part.split()[0]: [] for part in schema.split(",")})
 
     def compare(pair: tuple, part: pd.DataFrame) -> pd.DataFrame:
         i, j = pair
@@ -303,46 +334,40 @@ def user_neighbours(
             sides.append((ids, row, col[mine], part["w"].to_numpy()[mine]))
         (ids_a, *_), (ids_b, *_) = sides
         if not len(ids_a) or not len(ids_b):
-            return pd.DataFrame({"user_id": [], "other_id": [], "sim": [], "common": []})
-        shape = (len(ids_a), len(ids_b))
-        moments = ["dot", "common"] + (["sum_a", "sum_b", "sq_a", "sq_b"] if metric == "pearson" else [])
-        acc = {m: np.zeros(shape) for m in moments}
-        for first in range(0, len(items), 1000):
-            blocks = []
-            for ids, row, c, w in sides:
-                hit = (c >= first) & (c < first + 1000)
-                x = np.zeros((len(ids), min(1000, len(items) - first)))
-                x[row[hit], c[hit] - first] = w[hit]
-                blocks.append(x)
-            x, y = blocks
-            bx, by = (x != 0).astype(float), (y != 0).astype(float)
-            acc["dot"] += x @ y.T
-            acc["common"] += bx @ by.T
-            if metric == "pearson":
-                acc["sum_a"] += x @ by.T
-                acc["sum_b"] += bx @ y.T
-                acc["sq_a"] += (x * x) @ by.T
-                acc["sq_b"] += bx @ (y * y).T
+            return empty
+        acc = _tile_sums(sides, len(items), metric == "pearson")
         sq = [np.bincount(row, w * w, minlength=len(ids)) for ids, row, _, w in sides]
         cnt = [np.bincount(row, minlength=len(ids)) for ids, row, _, _ in sides]
         sim = _user_metric(metric, acc, sq, cnt)
         if i == j:
             np.fill_diagonal(sim, 1.0)
-        sim = np.round(sim, 12)
-        frames = [_best(ids_a, ids_b, sim, acc["common"], best, own=i == j)]
-        if i != j:
-            frames.append(_best(ids_b, ids_a, sim.T, acc["common"].T, best))
-        return pd.concat(frames)
-
-    schema = f"user_id {key}, other_id {key}, sim double, common double"
-    found = spread.groupBy("i", "j").applyInPandas(compare, schema)
-    # The user itself counts towards the cut.
-    order = [F.desc(F.col("user_id") == F.col("other_id")), F.desc("sim"), F.asc("other_id")]
-    ranked = skew.rank_rows(found, ["user_id"], order, k if keep_self else k + 1)
-    if not keep_self:
-        ranked = ranked.filter(F.col("user_id") != F.col("other_id"))
-    good = (F.col("sim") > 0) & (F.col("common") >= min_common)
-    return ranked.filter(good).withColumn("common", F.col("common").cast("long"))
+        return pd.concat(use(ids_a, ids_b, np.round(sim, 12), acc["common"], i == j))
+
+    return spread.groupBy("i", "j").applyInPandas(compare, schema)
+
+
+def _tile_sums(sides: list[tuple], n_items: int, moments: bool) -> dict[str, np.ndarray]:
+    """Products of two user tiles, added up over runs of 1000 items."""
+    (ids_a, *_), (ids_b, *_) = sides
+    names = ["dot", "common"] + (["sum_a", "sum_b", "sq_a", "sq_b"] if moments else [])
+    acc = {m: np.zeros((len(ids_a), len(ids_b))) for m in names}
+    for first in range(0, n_items, 1000):
+        blocks = []
+        for ids, row, c, w in sides:
+            hit = (c >= first) & (c < first + 1000)
+            x = np.zeros((len(ids), min(1000, n_items - first)))
+            x[row[hit], c[hit] - first] = w[hit]
+            blocks.append(x)
+        x, y = blocks
+        bx, by = (x != 0).astype(float), (y != 0).astype(float)
+        acc["dot"] += x @ y.T
+        acc["common"] += bx @ by.T
+        if moments:
+            acc["sum_a"] += x @ by.T
+            acc["sum_b"] += bx @ y.T
+            acc["sq_a"] += (x * x) @ by.T
+            acc["sq_b"] += bx @ (y * y).T
+    return acc
 
 
 def _user_metric(metric: str, acc: dict[str, np.ndarray], sq: list[np.ndarray], cnt: list[np.ndarray]) -> np.ndarray:
