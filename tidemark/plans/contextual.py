@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import device as dev
 from tidemark.functions import text, vectors
 from tidemark.functions import timefn as tf
-from tidemark.functions.stage import global_places, maybe_broadcast, stage
+from tidemark.functions.stage import stage
 from tidemark.operators import cf, rerank, scoring, temporal
 from tidemark.session import AS_OF
 
@@ -107,21 +107,15 @@ def personal_scores(user_cf: DataFrame, item_cf: DataFrame, active: DataFrame) -
 def hybrid(users: DataFrame, personal: DataFrame, catalogue: DataFrame, k: int) -> DataFrame:
     """Top k per user of personal + catalogue score; missing parts count 0.
 
-    Items without a personal score rank by the catalogue alone, so the first
-    k + (personal items) catalogue places contain every such item that can be in the top k.
+    Personal scores are never negative, so an item without one loses to every item with a
+    higher catalogue score: beyond the user's own rows only the first k places matter.
     """
-    own = personal.join(users.select("user_id"), "user_id", "left_semi")
-    scored = own.join(catalogue.withColumnRenamed("score", "extra"), "item_id").select(
-        "user_id", "item_id", (F.col("score") + F.col("extra")).alias("score")
-    )
-    order = [F.desc(F.round("score", 10)), F.asc("item_id")]
-    places = stage(global_places(catalogue, order), "catalogue-places")
-    size = places.count()
-    held = own.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    need = users.select("user_id").join(held, "user_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    spots = need.select("user_id", F.explode(F.sequence(F.lit(1), F.least(F.col("n") + k, F.lit(size)).cast("long"))).alias("place"))
-    rest = spots.join(maybe_broadcast(places), "place").join(own, ["user_id", "item_id"], "left_anti")
-    return scoring.top_k(scored.unionByName(rest.select("user_id", "item_id", "score")), k)
+    own = personal.join(users.select("user_id"), "user_id", "left_semi").select("user_id", "item_id", "score")
+    head = catalogue.orderBy(F.desc(F.round("score", 10)), F.asc("item_id")).limit(k).agg(F.collect_list("item_id").alias("l"))
+    fill = users.select("user_id", F.explode(head.scalar()).alias("item_id"), F.lit(0.0).alias("score"))
+    sums = own.unionByName(fill).groupBy("user_id", "item_id").agg(F.sum("score").alias("p"))
+    rows = sums.join(catalogue, "item_id").select("user_id", "item_id", (F.col("p") + F.col("score")).alias("score"))
+    return scoring.top_k(rows, k)
 
 
 def diversified(recs: DataFrame, items: DataFrame, lam: float = 0.5) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.stage import global_places, maybe_broadcast, stage
@@ -25,7 +25,6 @@ class Model:
     item_sims: DataFrame  # both directions and the diagonal
     neighbours: DataFrame
     popularity: DataFrame
-    _scores: DataFrame | None = field(default=None, repr=False)
 
 
 def fit(events: DataFrame, min_user: int = 5, min_item: int = 3, decay_days: float = 30.0) -> Model:
@@ -35,36 +34,39 @@ def fit(events: DataFrame, min_user: int = 5, min_item: int = 3, decay_days: flo
     return Model(weights, sims, neighbours, stage(cf.popularity(weights), "popularity"))
 
 
-def component_scores(model: Model) -> DataFrame:
-    """(user_id, item_id, user_cf, item_cf, popularity) of the unseen items of every user.
+def component_scores(model: Model, k: int, users: DataFrame | None = None) -> DataFrame:
+    """(user_id, item_id, user_cf, item_cf, popularity) of unseen items that can make a top k.
 
-    Any item a neighbour used is similar to some item of the user, and popularity covers
-    the rest, so the rows are the union of the sources' own rows plus a popular head.
+    All parts go into one union and one aggregate per (user, item): shares of the
+    neighbours' weights, shares of the item similarities, the user's own items (to drop
+    them), and a popular head. CF scores are never negative, so an item without any loses to
+    every unseen item that is more popular: only the first k + (own items) places matter.
     """
-    if model._scores is None:
-        ucf = cf.user_cf_scores(model.neighbours, model.weights, epsilon=1e-10)
-        icf = cf.item_cf_scores(model.weights, maybe_broadcast(model.item_sims), weighted=False)
-        both = ucf.withColumnRenamed("score", "user_cf").join(
-            icf.withColumnRenamed("score", "item_cf"), ["user_id", "item_id"], "full"
-        )
-        scored = both.fillna(0.0).join(model.popularity, "item_id")
-        model._scores = stage(cf.unseen(scored, model.weights), "components")
-    return model._scores
-
-
-def _popular_fill(model: Model, personal: DataFrame, known: DataFrame, k: int) -> DataFrame:
-    """Popular items that have neither a CF score for the user nor were used by the user.
-
-    Only the first k + (items known for the user) places of the popularity list can matter,
-    so each user gets that many places by an equi-join on the place.
-    """
-    order = [F.desc(F.round("popularity", 10)), F.asc("item_id")]
-    places = stage(global_places(model.popularity, order), "popular-places")
-    size = places.count()
-    known = personal.select("user_id", "item_id").unionByName(known)
-    held = known.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    spots = held.select("user_id", F.explode(F.sequence(F.lit(1), F.least(F.col("n") + k, F.lit(size)))).alias("place"))
-    return spots.join(maybe_broadcast(places), "place").join(known, ["user_id", "item_id"], "left_anti").drop("place")
+    own, near = model.weights, model.neighbours.select("user_id", "other_id", "sim")
+    if users is not None:
+        own, near = (t.join(users.select("user_id"), "user_id", "left_semi") for t in (own, near))
+    zero = F.lit(0.0)
+
+    def part(df: DataFrame, user_cf: Column = zero, item_cf: Column = zero, seen: Column = zero) -> DataFrame:
+        return df.select("user_id", "item_id", user_cf.alias("user_cf"), item_cf.alias("item_cf"), seen.alias("seen"))
+
+    total = near.groupBy("user_id").agg((F.sum("sim") + F.lit(1e-10)).alias("total"))
+    other = model.weights.select(F.col("user_id").alias("other_id"), "item_id", "w")
+    by_users = near.join(total, "user_id").join(other, "other_id")
+    held = own.groupBy("user_id").agg(F.count(F.lit(1)).alias("held"))
+    sims = model.item_sims.select(F.col("item_a").alias("used"), F.col("item_b").alias("item_id"), "sim")
+    by_items = own.select("user_id", F.col("item_id").alias("used")).repartition("user_id").join(held, "user_id").join(maybe_broadcast(sims), "used")
+    places = stage(global_places(model.popularity, [F.desc(F.round("popularity", 10)), F.asc("item_id")]), "popular-places")
+    upto = F.least(F.col("held") + k, F.lit(places.count()))
+    head = held.select("user_id", F.explode(F.sequence(F.lit(1), upto)).alias("place")).join(maybe_broadcast(places), "place")
+    rows = (
+        part(by_users, user_cf=F.col("sim") / F.col("total") * F.col("w"))
+        .unionByName(part(by_items, item_cf=F.col("sim") / F.col("held")))
+        .unionByName(part(own, seen=F.lit(1.0)))
+        .unionByName(part(head))
+    )
+    sums = rows.groupBy("user_id", "item_id").agg(*[F.sum(c).alias(c) for c in ("user_cf", "item_cf", "seen")])
+    return sums.filter("seen = 0").drop("seen").join(model.popularity, "item_id")
 
 
 def recommend(
@@ -78,13 +80,7 @@ def recommend(
 
     `users` limits the job to some of the trained users.
     """
-    personal, seen = component_scores(model), model.weights.select("user_id", "item_id")
-    if users is not None:
-        personal, seen = (t.join(users.select("user_id"), "user_id", "left_semi") for t in (personal, seen))
-    fill = _popular_fill(model, personal, seen, k).select(
-        "user_id", "item_id", F.lit(0.0).alias("user_cf"), F.lit(0.0).alias("item_cf"), "popularity"
-    )
-    rows = personal.select(*fill.columns).unionByName(fill)
+    rows = component_scores(model, k, users)
     total = sum((F.col(name) * F.lit(w) for name, w in weights.items()), F.lit(0.0))
     best = stage(scoring.top_k(rows.withColumn("score", total), k), "top")
     packed = rerank.pack(rerank.with_pair_sims(best, maybe_broadcast(model.item_sims)), "sims")
