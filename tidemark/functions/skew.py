@@ -186,6 +186,12 @@ def modes(df: DataFrame, keys: Sequence[str], attributes: Mapping[str, Column],
     return packed.select(*keys, *[F.col(n).getField("v").alias(n) for n in names], *[f"n_{n}" for n in distinct])
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partitions by key with a fixed number of partitions, ahead of a step that grows its
+    input (small inputs would otherwise be merged into few partitions)."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def rank_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, out: str = "rank") -> DataFrame:
     """Rows of rank 1..k per key. Spark cuts to k rows per key and task before the shuffle."""
     w = W.partitionBy(*keys).orderBy(*order)

@@ -193,7 +193,7 @@ def item_products(weights: DataFrame, moments: bool = False) -> DataFrame:
         if size:
             yield from run(pd.concat(held))
 
-    by_user = weights.select("user_id", "item_id", "w").repartition("user_id").sortWithinPartitions("user_id")
+    by_user = skew.spread(weights.select("user_id", "item_id", "w"), "user_id").sortWithinPartitions("user_id")
     partial = by_user.mapInPandas(task, schema)
     return partial.groupBy("item_a", "item_b").agg(*[F.sum(n).alias(n) for n in names])
 
@@ -425,7 +425,7 @@ def item_cf_scores(weights: DataFrame, sims: DataFrame, weighted: bool = True) -
     Weights are laid out by user first: with a small (broadcast) similarity table the sums
     per user then need no further shuffle.
     """
-    by_user = weights.repartition("user_id")
+    by_user = skew.spread(weights, "user_id")
     held = by_user.groupBy("user_id").agg(F.count(F.lit(1)).alias("held"))
     part = F.col("w") * F.col("sim") if weighted else F.col("sim")
     right = sims.select(F.col("item_a").alias("item_id"), F.col("item_b"), "sim")

@@ -112,7 +112,7 @@ def item_cooccurrence(events: DataFrame, window_hours: int = 24, min_hot_rows: i
         if size:
             yield run(pd.concat(held))
 
-    forward = usual.repartition("user_id").sortWithinPartitions("user_id").mapInPandas(task, schema)
+    forward = skew.spread(usual, "user_id").sortWithinPartitions("user_id").mapInPandas(task, schema)
     if hot is not None:
         forward = forward.unionByName(_hot_counts(known.join(F.broadcast(hot), "user_id", "left_semi"), width, schema))
     both = forward.select(

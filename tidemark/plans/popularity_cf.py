@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import skew
 from tidemark.functions.stage import global_places, maybe_broadcast, stage
 from tidemark.operators import cf, rerank, scoring
 
@@ -55,7 +56,7 @@ def component_scores(model: Model, k: int, users: DataFrame | None = None) -> Da
     by_users = near.join(total, "user_id").join(other, "other_id")
     held = own.groupBy("user_id").agg(F.count(F.lit(1)).alias("held"))
     sims = model.item_sims.select(F.col("item_a").alias("used"), F.col("item_b").alias("item_id"), "sim")
-    by_items = own.select("user_id", F.col("item_id").alias("used")).repartition("user_id").join(held, "user_id").join(maybe_broadcast(sims), "used")
+    by_items = skew.spread(own.select("user_id", F.col("item_id").alias("used")).join(held, "user_id"), "user_id").join(maybe_broadcast(sims), "used")
     places = stage(global_places(model.popularity, [F.desc(F.round("popularity", 10)), F.asc("item_id")]), "popular-places")
     upto = F.least(F.col("held") + k, F.lit(places.count()))
     head = held.select("user_id", F.explode(F.sequence(F.lit(1), upto)).alias("place")).join(maybe_broadcast(places), "place")
@@ -104,8 +105,6 @@ def cold_start(model: Model, users: DataFrame, k: int = 10) -> DataFrame:
 
 def split_by_time(events: DataFrame, share: float = 0.8, accuracy: int = 10_000) -> tuple[DataFrame, DataFrame]:
     """Train before and test from the exact `share` quantile of the event time."""
-    from tidemark.functions import skew
-
     micros = events.select(F.unix_micros("event_time").alias("m"))
     cut = skew.quantiles(micros, [], "m", {"cut": share}, accuracy=accuracy).first()["cut"]
     at = F.unix_micros("event_time").cast("double")
