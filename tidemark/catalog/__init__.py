@@ -2,7 +2,7 @@
 
 import importlib
 
-THEMES = ["activity", "features", "recommend", "ops", "tables", "contextual"]
+THEMES = ["activity", "features", "recommend", "ops", "tables", "contextual", "streams"]
 
 
 def load_all():
