@@ -7,7 +7,7 @@ from tidemark.catalog.registry import query
 from tidemark.functions import device as dev
 from tidemark.functions import skew, text, vectors
 from tidemark.functions import timefn as tf
-from tidemark.inputs import interactions, items, load, users
+from tidemark.inputs import interactions, items, load, raw, users
 from tidemark.operators import activity as A
 from tidemark.operators import context, sessions, temporal
 from tidemark.operators import entity_features as E
@@ -544,3 +544,19 @@ def _(spark, d):
         F.array_join(F.transform(short, lambda x: F.round(x, 4)), ",").alias("short_vector"),
         F.round(vectors.cosine(F.col("embedding"), vectors.fuse(F.col("embedding"), long)), 5).alias("fused_match"),
     )
+
+
+@query("nearest_items", """
+WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM items WHERE item_id = 0)
+SELECT item_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), v), 5) AS sim FROM items, q WHERE embedding IS NOT NULL AND item_id NOT IN (0, 5)
+ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), v) DESC, item_id LIMIT 10""")
+def _(spark, d):
+    it = items(spark, d)
+    first = it.filter("item_id = 0").select("embedding").first()[0]
+    return vectors.nearest(it, first, 10, exclude=[0, 5]).withColumn("sim", F.round("sim", 5))
+
+
+@query("event_properties", "SELECT event_id AS id, CAST(json_extract(props, '$.k') AS INT) AS k FROM events")
+def _(spark, d):
+    props = F.try_parse_json(F.col("props"))
+    return raw(spark, d, "events").select(F.col("event_id").alias("id"), F.try_variant_get(props, "$.k", "int").alias("k"))

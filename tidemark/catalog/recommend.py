@@ -43,6 +43,12 @@ def _(spark, d):
     return cf.simple_matrix(interactions(spark, d), days=7, min_items=12)
 
 
+@query("weights_of_user", f"WITH {WEIGHTED} SELECT item_id, round(w, 6) AS w FROM ww WHERE user_id = 8")
+def _(spark, d):
+    w = cf.interaction_weights(interactions(spark, d), "weighted")
+    return cf.vector_of(w, "user_id", 8).withColumn("w", F.round("w", 6))
+
+
 @query("weights_normalised", f"""WITH {WEIGHTED} SELECT user_id, item_id,
   round(w / sqrt(sum(w * w) OVER (PARTITION BY user_id)), 6) AS w FROM ww""")
 def _(spark, d):
@@ -113,6 +119,14 @@ def _(spark, d):
     return cf.item_neighbours(cf.mirrored(cf.item_similarity(w)), 20, 40).withColumn("sim", F.round("sim", 6))
 
 
+@query("similar_items_of_item", f"""WITH {WEIGHTED}, {ITEM_TOP} SELECT item_b, round(sim, 6) AS sim, common, rank FROM ik
+WHERE rank <= 10 AND sim > 0 AND item_a = 7""")
+def _(spark, d):
+    w = cf.interaction_weights(interactions(spark, d), "weighted")
+    best = cf.item_neighbours(cf.mirrored(cf.item_similarity(w)), 10)
+    return best.filter("item_a = 7").drop("item_a").withColumn("sim", F.round("sim", 6))
+
+
 USER_TOP = """uq AS (SELECT user_id, sqrt(sum(w * w)) AS q FROM {0} GROUP BY 1),
 up AS (SELECT a.user_id AS u, b.user_id AS v, sum(a.w * b.w) AS dot, count(*) AS common FROM {0} a JOIN {0} b USING (item_id) GROUP BY ALL),
 us AS (SELECT u, v, round(CASE WHEN u = v THEN 1 ELSE dot / (x.q * y.q) END, 12) AS sim, common FROM up JOIN uq x ON x.user_id = u JOIN uq y ON y.user_id = v),

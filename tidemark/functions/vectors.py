@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import timefn as tf
@@ -88,3 +88,18 @@ def fuse(user_vec: Column, context_vec: Column, size: int = EMBEDDING_SIZE, user
         lambda u, c: u.cast("double") * user_share + c * (1 - user_share),
     )
     return F.when(user_vec.isNotNull() & (F.size(user_vec) > 0), pad(mixed, size)).otherwise(context_vec)
+
+
+def item_similarity(emb_a: Column, emb_b: Column, category_a: Column, category_b: Column) -> Column:
+    """Cosine cut to [0, 1]; without usable embeddings 1 for equal categories, else 0."""
+    same = F.coalesce((category_a == category_b).cast("double"), F.lit(0.0))
+    return F.coalesce(cosine(emb_a, emb_b, "clip"), same)
+
+
+def nearest(df: DataFrame, query: list[float], k: int, exclude: list | None = None, id_column: str = "item_id", vector: str = "embedding") -> DataFrame:
+    """The k rows most similar to a query vector; the vector is a literal and the cut a top-n, so nothing is shuffled."""
+    rows = df.filter(F.col(vector).isNotNull())
+    if exclude:
+        rows = rows.filter(~F.col(id_column).isin(exclude))
+    scored = rows.select(id_column, cosine(F.col(vector), F.lit(query)).alias("sim")).filter("sim IS NOT NULL")
+    return scored.orderBy(F.desc(F.round("sim", 10)), F.asc(id_column)).limit(k)

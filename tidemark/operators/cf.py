@@ -86,6 +86,11 @@ def decayed_weights(events: DataFrame, min_user: int = 5, min_item: int = 3, dec
     return decayed.join(kept.select("user_id", "item_id"), ["user_id", "item_id"], "left_semi")
 
 
+def vector_of(weights: DataFrame, key: str, value: object) -> DataFrame:
+    """One user's items or one item's users with their weights."""
+    return weights.filter(F.col(key) == value).drop(key)
+
+
 def normalised_rows(weights: DataFrame) -> DataFrame:
     """Weights scaled to unit length per user."""
     norm = weights.groupBy("user_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
@@ -96,7 +101,7 @@ def matrix_info(weights: DataFrame) -> DataFrame:
     row = weights.agg(
         F.count_distinct("user_id").alias("users"), F.count_distinct("item_id").alias("items"), F.count(F.lit(1)).alias("nnz")
     )
-    density = F.col("nnz") / (F.col("users") * F.col("items"))
+    density = F.try_divide(F.col("nnz"), F.col("users") * F.col("items"))
     return row.withColumn("density", density).withColumn("sparsity", 1.0 - density)
 
 

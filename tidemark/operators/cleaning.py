@@ -159,7 +159,7 @@ def pick_columns(df: DataFrame, wanted: Sequence[str], required: Sequence[str])
 
 def response_ms(props: Mapping[str, Column]) -> Column:
     """Milliseconds, else seconds x 1000; a zero falls through like a missing value."""
-    ms, sec = props["response_time_ms"], props["response_time_seconds"]
+    ms, sec = (props[c].try_cast("double") for c in ("response_time_ms", "response_time_seconds"))
     return F.coalesce(F.nullif(ms, F.lit(0)), sec * 1000)
 
 

@@ -13,7 +13,7 @@ def list_diversity(recs: DataFrame, k: int = 5) -> DataFrame:
     top = recs.filter(F.col("rank") <= k).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("rank", "item_id"))).alias("l"))
     lists = top.select(F.transform("l", lambda e: e["item_id"]).alias("l")).groupBy("l").agg(F.count(F.lit(1)).alias("n"))
     row = lists.agg(F.sum("n").alias("users"), F.count(F.lit(1)).alias("distinct_lists"))
-    ratio = F.col("distinct_lists") / F.col("users")
+    ratio = F.try_divide(F.col("distinct_lists"), F.col("users"))
     return row.withColumn("ratio", ratio).withColumn("verdict", F.when(ratio > 0.5, "personal").when(ratio > 0.3, "partly").otherwise("uniform"))
 
 
@@ -44,7 +44,7 @@ def user_coverage(recs: DataFrame, users: DataFrame) -> DataFrame:
     sizes = recs.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
     row = users.select("user_id").join(sizes, "user_id", "left")
     return row.agg(
-        F.count(F.lit(1)).alias("users"), (F.count("n") / F.count(F.lit(1))).alias("success_rate"), F.avg("n").alias("mean_length")
+        F.count(F.lit(1)).alias("users"), F.try_divide(F.count("n"), F.count(F.lit(1))).alias("success_rate"), F.avg("n").alias("mean_length")
     )
 
 
@@ -66,7 +66,7 @@ def ranking_metrics(recs: DataFrame, truth: DataFrame, k: int = 10) -> DataFrame
 
 def catalogue_coverage(recs: DataFrame, items: DataFrame) -> DataFrame:
     used = recs.select("item_id").distinct()
-    return items.select("item_id").join(used.withColumn("u", F.lit(1)), "item_id", "left").agg((F.count("u") / F.count(F.lit(1))).alias("coverage"))
+    return items.select("item_id").join(used.withColumn("u", F.lit(1)), "item_id", "left").agg(F.try_divide(F.count("u"), F.count(F.lit(1))).alias("coverage"))
 
 
 def intra_list_diversity(recs: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:

@@ -53,7 +53,7 @@ def quality_checks(df: DataFrame, as_of: str = AS_OF, accuracy: int = 10_000) ->
         *[F.count_if(t > now).alias(f"future_{c}") for c, t in whens.items()],
         *[F.count_if(t < now - F.expr("INTERVAL 3650 DAYS")).alias(f"old_{c}") for c, t in whens.items()],
     )
-    rows = F.col("rows")
+    rows = F.nullif(F.col("rows"), F.lit(0))  # rates of an empty table are null
     missing = sum((F.col(f"null_{c}") for c in df.columns), F.lit(0))
     complete = F.lit(1.0) - missing / (rows * len(df.columns))
     checks = [
@@ -61,7 +61,7 @@ def quality_checks(df: DataFrame, as_of: str = AS_OF, accuracy: int = 10_000) ->
             rows > 0,
             _check("data_completeness", complete >= 0.95, F.when(complete < 0.8, "error").otherwise("warning"), F.concat(F.lit("completeness "), _percent(complete))),
         ),
-        F.when(rows == 0, _check("empty_dataset", F.lit(False), "error", F.lit("dataset is empty"))),
+        F.when(F.col("rows") == 0, _check("empty_dataset", F.lit(False), "error", F.lit("dataset is empty"))),
     ]
     for c in df.columns:
         rate = F.col(f"null_{c}") / rows
