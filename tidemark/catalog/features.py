@@ -536,13 +536,18 @@ def _(spark, d):
 
 @query("event_context_vectors")
 def _(spark, d):
-    ts, kind = F.col("event_time"), dev.device_type(F.col("os"))
-    short, long = vectors.short_context_vector(ts, kind), vectors.long_context_vector(ts, kind)
-    rows = interactions(spark, d).join(items(spark, d).select("item_id", "embedding"), "item_id")
-    return rows.select(
+    # The vectors depend on hour, weekday and device only: at most 24 x 7 x 4 different ones.
+    rows = interactions(spark, d).select(
+        "id", "item_id", "event_time", F.hour("event_time").alias("h"), F.weekday("event_time").alias("w"), dev.device_type(F.col("os")).alias("kind")
+    )
+    ts = F.col("ts")
+    kinds = rows.groupBy("h", "w", "kind").agg(F.min("event_time").alias("ts"))
+    vecs = kinds.select("h", "w", "kind", vectors.short_context_vector(ts, F.col("kind")).alias("short"), vectors.long_context_vector(ts, F.col("kind")).alias("long"))
+    joined = rows.join(F.broadcast(vecs), ["h", "w", "kind"]).join(items(spark, d).select("item_id", "embedding"), "item_id")
+    return joined.select(
         "id",
-        F.array_join(F.transform(short, lambda x: F.round(x, 4)), ",").alias("short_vector"),
-        F.round(vectors.cosine(F.col("embedding"), vectors.fuse(F.col("embedding"), long)), 5).alias("fused_match"),
+        F.array_join(F.transform("short", lambda x: F.round(x, 4)), ",").alias("short_vector"),
+        F.round(vectors.cosine(F.col("embedding"), vectors.fuse(F.col("embedding"), F.col("long"))), 5).alias("fused_match"),
     )
 
 

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import skew
 from tidemark.functions import timefn as tf
+from tidemark.functions.stage import global_places
 from tidemark.session import AS_OF
 
 RUN, SELECT, COPY = "run", "select", "copy"
@@ -136,21 +136,17 @@ def item_features(events: DataFrame, as_of: str = AS_OF) -> DataFrame:
 def category_ranks(events: DataFrame, items: DataFrame) -> DataFrame:
     """Rank and percentile of active items by use within their category.
 
-    The category size comes from a group-by, not from a window over the category, and
-    the catalogue is far smaller than the events; ranks run on (category, item) rows.
+    One distributed sort by (category, use) numbers all items; a rank is the distance from
+    the first place of the category, so a huge category is not ordered in one task.
     """
     uses = events.groupBy("item_id").agg(F.count(F.lit(1)).alias("uses"))
     active = items.filter("is_active AND category IS NOT NULL").select("item_id", "category")
     counted = active.join(uses, "item_id", "left").withColumn("uses", F.coalesce("uses", F.lit(0)))
-    w = W.partitionBy("category").orderBy(F.desc("uses"), "item_id")
-    sizes = active.groupBy("category").agg(F.count(F.lit(1)).alias("size"))
-    ranked = counted.withColumn("category_rank", F.row_number().over(w)).join(sizes, "category")
-    return ranked.select(
-        "item_id",
-        "category",
-        "uses",
-        "category_rank",
-        (F.lit(1.0) - (F.col("category_rank") - 1) / F.col("size")).alias("category_percentile"),
+    placed = global_places(counted, [F.asc("category"), F.desc("uses"), F.asc("item_id")], "category-places")
+    firsts = placed.groupBy("category").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("size"))
+    rank = (F.col("place") - F.col("first") + 1).cast("int")
+    return placed.join(firsts, "category").select(
+        "item_id", "category", "uses", rank.alias("category_rank"), (F.lit(1.0) - (rank - 1) / F.col("size")).alias("category_percentile")
     )
 
 

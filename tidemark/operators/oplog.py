@@ -111,24 +111,12 @@ def quota_violations(
 ) -> DataFrame:
     """Requests that exceed a client's sliding quotas, with the counts of the last 60 s and 3600 s.
 
-    Counts include the request itself and the full interval [t - width, t]. Ordinary
-    clients use range frames. For hot clients each request also sends one probe to t - 60 s
-    and one to t - 3600 s; running counts over requests and probes are cut into time
-    slices, and the two counts are differences of running counts.
+    Counts include the request itself and the full interval [t - width, t]. Each request
+    also sends one probe to t - 60 s and one to t - 3600 s; both counts are differences of one
+    running count over requests and probes. Unlike a range frame this costs the same for
+    any traffic, and the running count is cut into time slices for hot clients.
     """
-    rows = log.select("client_key", "id", F.unix_micros("ts").alias("us"), "ts")
-    hot = skew.hot_keys(rows.select("client_key"), ["client_key"], min_hot_rows)
-    small = rows if hot is None else rows.join(F.broadcast(hot), "client_key", "left_anti")
-    frame = lambda s: W.partitionBy("client_key").orderBy("us").rangeBetween(-s * 1_000_000, 0)
-    out = small.select(
-        "client_key", "id", F.count(F.lit(1)).over(frame(60)).alias("last_minute"), F.count(F.lit(1)).over(frame(3600)).alias("last_hour")
-    )
-    if hot is not None:
-        out = out.unionByName(_probed_counts(rows.join(F.broadcast(hot), "client_key", "left_semi"), min_hot_rows))
-    return out.filter((F.col("last_minute") > per_minute) | (F.col("last_hour") > per_hour))
-
-
-def _probed_counts(rows: DataFrame, min_hot_rows: int | None) -> DataFrame:
+    rows = log.select("client_key", "id", F.unix_micros("ts").alias("us"))
     # kind 0 and 1 are probes that sort before requests of the same time; kind 2 are requests.
     spots = F.array(
         F.struct(F.lit(0).alias("kind"), (F.col("us") - 60_000_000).alias("at")),
@@ -146,6 +134,7 @@ def _probed_counts(rows: DataFrame, min_hot_rows: int | None) -> DataFrame:
         F.max(F.when(F.col("kind") == 0, F.col("seen"))).alias("b60"), F.max(F.when(F.col("kind") == 1, F.col("seen"))).alias("b3600")
     )
     requests = counted.filter("kind = 2").select("client_key", "id", "at").join(peak, ["client_key", "at"])
-    return requests.join(before, ["client_key", "id"]).select(
+    counts = requests.join(before, ["client_key", "id"]).select(
         "client_key", "id", (F.col("upto") - F.col("b60")).alias("last_minute"), (F.col("upto") - F.col("b3600")).alias("last_hour")
     )
+    return counts.filter((F.col("last_minute") > per_minute) | (F.col("last_hour") > per_hour))

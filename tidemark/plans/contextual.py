@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import device as dev
@@ -28,7 +28,7 @@ LAYOUT_WEIGHTS = {"base": 0.40, "fit": 0.20, "affinity": 0.15, "recency": 0.10,
 RECENCY_MIX = {"trending": 0.6, "freshness": 0.4}
 PEAK_BOOST, RECENCY_HOURS, LOOKBACK_DAYS = 1.3, 24.0, 90
 SLOT_WEIGHTS = {"hero_banner": 1.2, "sidebar_quick": 0.9, "footer_suggestion": 0.7, "dashboard_widget": 1.0}
-TILE = 4096
+TILE = 2048
 
 
 @dataclass(frozen=True)
@@ -46,6 +46,11 @@ class Moment:
     def device(self) -> Column:
         return dev.device_type(F.lit(self.os).cast("string"))
 
+    def vector(self, spark: SparkSession, long: bool) -> Column:
+        """The context vector as a literal: it is the same for every row of the job."""
+        build = vectors.long_context_vector if long else vectors.short_context_vector
+        return F.lit(spark.range(1).select(build(self.ts, self.device)).first()[0])
+
     @property
     def hour(self) -> int:
         return pd.Timestamp(self.timestamp).hour
@@ -54,7 +59,7 @@ class Moment:
 # --- catalogue scores -----------------------------------------------------------------------
 
 
-def context_score(moment: Moment) -> Column:
+def context_score(moment: Moment, vector: Column) -> Column:
     """Embedding match with the context vector in [0, 1], else rules from 0.5."""
     when = tf.time_of_day(F.hour(moment.ts))
     rules = (
@@ -65,7 +70,7 @@ def context_score(moment: Moment) -> Column:
         + F.when(tf.is_business_hours(moment.ts) & F.col("is_premium"), 0.1).otherwise(0.0)
         + F.when((moment.device == "mobile") & (F.col("item_type") == "quick_tool"), 0.15).otherwise(0.0)
     )
-    match = vectors.cosine(vectors.short_context_vector(moment.ts, moment.device), F.col("embedding"), "unit")
+    match = vectors.cosine(vector, F.col("embedding"), "unit")
     return F.coalesce(match, F.least(F.lit(1.0), F.greatest(F.lit(0.0), rules)))
 
 
@@ -86,7 +91,7 @@ def catalogue_scores(items: DataFrame, features: DataFrame, moment: Moment | Non
     rows = active.select("item_id").join(recency, "item_id", "left").withColumn("recency", F.coalesce("recency", F.lit(0.0)))
     total = F.col("recency") * HYBRID_WEIGHTS["recency"]
     if moment is not None:
-        ctx = stage(active.select("item_id", context_score(moment).alias("context")), "context")
+        ctx = stage(active.select("item_id", context_score(moment, moment.vector(items.sparkSession, long=False)).alias("context")), "context")
         rows = rows.join(_catalogue_minmax(ctx, "context"), "item_id")
         total = total + F.col("context") * HYBRID_WEIGHTS["context"]
     return stage(rows.select("item_id", total.alias("score")), "catalogue")
@@ -293,7 +298,7 @@ def layout_scores(
     """(user_id, item_id, score, uses) of the candidates for a slot."""
     uses = events.filter(F.col("item_id").isNotNull()).groupBy("user_id", "item_id").agg(F.count(F.lit(1)).alias("uses"))
     bonus = recency_score(features).withColumn("recency", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("recency"))))
-    context = vectors.long_context_vector(moment.ts, moment.device)
+    context = moment.vector(items.sparkSession, long=True)
     rows = base.select("user_id", "item_id", "score").join(items, "item_id").join(uses, ["user_id", "item_id"], "left").join(bonus, "item_id", "left")
     if user_vectors is not None:
         rows = rows.join(user_vectors.select("user_id", F.col("embedding").alias("user_vec")), "user_id", "left")
