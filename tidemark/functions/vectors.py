@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,22 +29,32 @@ def _sum_products(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def _cosine_rows(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Cosine of each pair of vectors over the shorter prefix; NaN where there is none."""
+    out = np.full(len(a), np.nan)
+    sizes = np.array([min(len(x), len(y)) if x is not None and y is not None else 0 for x, y in zip(a, b)])
+    for size in np.unique(sizes[sizes > 0]):
+        rows = np.flatnonzero(sizes == size)
+        x = np.stack([np.asarray(a.iat[r][:size], dtype=float) for r in rows])
+        y = np.stack([np.asarray(b.iat[r][:size], dtype=float) for r in rows])
+        norm = np.sqrt(np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y))
+        ok = norm > 0
+        out[rows[ok]] = np.clip(np.einsum("ij,ij->i", x, y)[ok] / norm[ok], -1.0, 1.0)
+    return pd.Series(out)
+
+
 def cosine(a: Column, b: Column, mode: str = "raw") -> Column:
     """Cosine over the shorter prefix; null when a vector is missing or has no length.
 
-    mode "raw" is [-1, 1], "clip" cuts negatives to 0, "unit" maps to [0, 1].
+    mode "raw" is [-1, 1], "clip" cuts negatives to 0, "unit" maps to [0, 1]. Vectors go
+    through Arrow in batches: array functions would handle every element on its own.
     """
-    size = F.least(F.size(a), F.size(b))
-
-    def ratio(pair: Column) -> Column:
-        norm = F.sqrt(_sum_products(pair["a"], pair["a"]) * _sum_products(pair["b"], pair["b"]))
-        return let(norm, lambda n: F.when(n > 0, _sum_products(pair["a"], pair["b"]) / n))
-
-    prefix = F.struct(F.slice(a, F.lit(1), size).alias("a"), F.slice(b, F.lit(1), size).alias("b"))
-    cos = F.when(a.isNotNull() & b.isNotNull() & (size > 0), let(prefix, ratio))
-    low = -1.0 if mode == "raw" else 0.0
-    view = (lambda c: (c + 1.0) / 2.0) if mode == "unit" else (lambda c: c)
-    return let(cos, lambda c: F.when(c.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(1.0), view(c)))))
+    values = F.pandas_udf(_cosine_rows, "double")(a, b)
+    if mode == "raw":
+        return F.nanvl(values, F.lit(None).cast("double"))
+    if mode == "clip":
+        return F.when(values < 0, 0.0).otherwise(F.nanvl(values, F.lit(None).cast("double")))
+    return F.nanvl((values + 1.0) / 2.0, F.lit(None).cast("double"))
 
 
 def unit_length(vec: Column) -> Column:

@@ -299,19 +299,20 @@ def layout_scores(
     uses = events.filter(F.col("item_id").isNotNull()).groupBy("user_id", "item_id").agg(F.count(F.lit(1)).alias("uses"))
     bonus = recency_score(features).withColumn("recency", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("recency"))))
     context = moment.vector(items.sparkSession, long=True)
-    rows = base.select("user_id", "item_id", "score").join(items, "item_id").join(uses, ["user_id", "item_id"], "left").join(bonus, "item_id", "left")
+    known = items.join(bonus, "item_id", "left").select("*", context_fit(moment).alias("fit"))
+    if user_vectors is None:
+        # Without user vectors the match with the context is one value per item.
+        known = known.withColumn("match", vectors.cosine(F.col("embedding"), context, "unit")).drop("embedding")
+    rows = base.select("user_id", "item_id", "score").join(known, "item_id").join(uses, ["user_id", "item_id"], "left")
     if user_vectors is not None:
         rows = rows.join(user_vectors.select("user_id", F.col("embedding").alias("user_vec")), "user_id", "left")
-        target = vectors.fuse(F.col("user_vec"), context)
-    else:
-        target = context
-    match = F.coalesce(vectors.cosine(F.col("embedding"), target, "unit"), F.lit(0.0))
+        rows = rows.withColumn("match", vectors.cosine(F.col("embedding"), vectors.fuse(F.col("user_vec"), context), "unit"))
     parts = {
         "base": F.col("score"),
-        "fit": context_fit(moment),
+        "fit": F.col("fit"),
         "affinity": F.least(F.coalesce("uses", F.lit(0)) / 10.0, F.lit(1.0)) * 0.5 + 0.5,
         "recency": F.coalesce("recency", F.lit(0.0)),
-        "embedding": match,
+        "embedding": F.coalesce("match", F.lit(0.0)),
     }
     total = sum((parts[n] * w for n, w in LAYOUT_WEIGHTS.items()), F.lit(0.0)) * SLOT_WEIGHTS.get(slot, 1.0)
     return rows.select("user_id", "item_id", total.alias("score"), F.coalesce("uses", F.lit(0)).alias("uses"))
