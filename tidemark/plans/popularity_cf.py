@@ -51,19 +51,22 @@ def component_scores(model: Model, k: int, users: DataFrame | None = None) -> Da
     def part(df: DataFrame, user_cf: Column = zero, item_cf: Column = zero, seen: Column = zero) -> DataFrame:
         return df.select("user_id", "item_id", user_cf.alias("user_cf"), item_cf.alias("item_cf"), seen.alias("seen"))
 
+    # Every part is laid out by user, so the aggregate per (user, item) and the ranking per
+    # user that follows read it as it is: the many scored rows are never shuffled.
     total = near.groupBy("user_id").agg((F.sum("sim") + F.lit(1e-10)).alias("total"))
     other = model.weights.select(F.col("user_id").alias("other_id"), "item_id", "w")
-    by_users = near.join(total, "user_id").join(other, "other_id")
+    shared = near.join(total, "user_id").join(other, "other_id").select("user_id", "item_id", "sim", "total", "w")
+    by_users = skew.spread(shared, "user_id")
     held = own.groupBy("user_id").agg(F.count(F.lit(1)).alias("held"))
     sims = model.item_sims.select(F.col("item_a").alias("used"), F.col("item_b").alias("item_id"), "sim")
     by_items = skew.spread(own.select("user_id", F.col("item_id").alias("used")).join(held, "user_id"), "user_id").join(maybe_broadcast(sims), "used")
     places = stage(global_places(model.popularity, [F.desc(F.round("popularity", 10)), F.asc("item_id")]), "popular-places")
     upto = F.least(F.col("held") + k, F.lit(places.count()))
-    head = held.select("user_id", F.explode(F.sequence(F.lit(1), upto)).alias("place")).join(maybe_broadcast(places), "place")
+    head = skew.spread(held, "user_id").select("user_id", F.explode(F.sequence(F.lit(1), upto)).alias("place")).join(maybe_broadcast(places), "place")
     rows = (
         part(by_users, user_cf=F.col("sim") / F.col("total") * F.col("w"))
         .unionByName(part(by_items, item_cf=F.col("sim") / F.col("held")))
-        .unionByName(part(own, seen=F.lit(1.0)))
+        .unionByName(part(skew.spread(own, "user_id"), seen=F.lit(1.0)))
         .unionByName(part(head))
     )
     sums = rows.groupBy("user_id", "item_id").agg(*[F.sum(c).alias(c) for c in ("user_cf", "item_cf", "seen")])
