@@ -54,3 +54,16 @@ def test_windows_share_one_sort(spark, sf):
 def test_group_sums_combine_before_the_shuffle(spark, sf):
     text = plan(interactions(spark, sf).groupBy("user_id").agg(F.count(F.lit(1))))
     assert text.count("HashAggregate") == 2
+
+
+def test_scored_rows_stay_in_place(spark, sf):
+    """All parts of the scores are laid out by user; neither the sums nor the ranking shuffle them again."""
+    from tidemark.inputs import training_events
+    from tidemark.operators import scoring
+    from tidemark.plans import popularity_cf
+
+    model = popularity_cf.fit(training_events(spark, sf))
+    scores = popularity_cf.component_scores(model, 10).withColumnRenamed("item_cf", "score")
+    text = plan(scoring.top_k(scores, 10))
+    assert not re.search(r"Exchange hashpartitioning\(user_id#\w+, item_id", text)
+    assert not re.search(r"Exchange", text.split("Union")[0])
