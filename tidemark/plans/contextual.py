@@ -87,7 +87,7 @@ def _catalogue_minmax(df: DataFrame, column: str) -> DataFrame:
 def catalogue_scores(items: DataFrame, features: DataFrame, moment: Moment | None) -> DataFrame:
     """(item_id, score) of the user-independent part for every active item."""
     active = items.filter("is_active")
-    recency = _catalogue_minmax(stage(recency_score(features), "recency"), "recency")
+    recency = _catalogue_minmax(recency_score(features), "recency")
     rows = active.select("item_id").join(recency, "item_id", "left").withColumn("recency", F.coalesce("recency", F.lit(0.0)))
     total = F.col("recency") * HYBRID_WEIGHTS["recency"]
     if moment is not None:
