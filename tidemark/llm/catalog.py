@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import simhash
+from tidemark.llm import langid, mixing, pieces, secrets, simhash, vectors
 from tidemark.llm.common import table
 
 QUERIES = {}
@@ -19,3 +20,88 @@ def register(fn):
 @register
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+@register
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.languages(table(spark, sf_dir, "documents"))
+
+
+@register
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+# Cosine in double precision, then the smallest vec_id reachable by links.
+ORACLES["op9_embeddings"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+), ok AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len([x FOR x IN e IF x IS NULL OR isnan(x) OR isinf(x)]) = 0
+    AND len([x FOR x IN e IF x <> 0]) > 0
+), link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b
+), low AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS n_links FROM link GROUP BY a)
+SELECT v.vec_id, coalesce(n.n_links, 0)::BIGINT AS n_links, low.component_id, v.vec_id = low.component_id AS kept
+FROM v JOIN low ON low.a = v.vec_id LEFT JOIN n ON n.a = v.vec_id
+"""
+
+
+@register
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture_sizes(table(spark, sf_dir, "documents"))
+
+
+# The level is found in closed form; draws are 8 hex digits each of two SHA-256 digests of the id.
+ORACLES["op7_mixing"] = """
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
+         sha256('0:' || coalesce(doc_id::VARCHAR, '')) || sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h
+  FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
+), w AS (
+  SELECT *, ([3, 1, 2])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::BIGINT AS weight FROM s
+), r AS (
+  SELECT *, coalesce(sum(source_size) OVER o, 0)::DOUBLE AS full_size, coalesce(sum(weight) OVER o, 0)::DOUBLE AS closed,
+         sum(source_size) OVER ()::DOUBLE AS every, sum(weight) OVER ()::DOUBLE AS weights
+  FROM w WINDOW o AS (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), l AS (
+  SELECT *, (every * 1.5::DOUBLE - full_size * 2::DOUBLE) / (weights - closed) AS level FROM r
+), h AS (
+  SELECT arg_min(level, source_size / weight) AS level FROM l WHERE weight * level < source_size * 2::DOUBLE
+), t AS (
+  SELECT w.source, w.source_size, CASE WHEN h.level IS NULL THEN w.source_size * 2::DOUBLE ELSE least(w.source_size * 2::DOUBLE, w.weight * h.level) END AS target
+  FROM w, h
+), p AS (
+  SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM t
+), e AS (
+  SELECT d.doc_id, d.source, d.size, p.source_size, p.target, p.rate,
+         [('0x' || substr(h, (1 + 8 * i)::INT, 8))::BIGINT FOR i IN range(16)] AS draws
+  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
+), g AS (
+  SELECT source, i, abs(sum(CASE WHEN draws[i + 1] < (rate - floor(rate)) * 4294967296 THEN size ELSE 0 END)
+         - (any_value(target) - floor(any_value(rate)) * any_value(source_size))) AS miss
+  FROM e, range(16) AS k(i) GROUP BY source, i
+), b AS (
+  SELECT source, first(i ORDER BY miss, i) AS seed FROM g GROUP BY source
+)
+SELECT e.doc_id, e.size, e.source_size, e.target,
+       (e.size * (floor(e.rate) + CASE WHEN e.draws[b.seed + 1] < (e.rate - floor(e.rate)) * 4294967296 THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM e JOIN b ON e.source IS NOT DISTINCT FROM b.source
+"""
+
+
+@register
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_candidates", "n_secrets", "spans", F.sha2("masked", 256).alias("masked_sha256"))
+
+
+@register
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trips(table(spark, sf_dir, "documents"))
