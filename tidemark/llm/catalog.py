@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid, mixing, pieces, secrets, simhash, vectors
+from tidemark.llm import langid, mixing, perplexity, pieces, secrets, simhash, vectors
 from tidemark.llm.common import table
 
 QUERIES = {}
@@ -105,3 +105,8 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trips(table(spark, sf_dir, "documents"))
+
+
+@register
+def op2_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.judged(table(spark, sf_dir, "documents"))
