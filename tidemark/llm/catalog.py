@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid, mixing, perplexity, pieces, secrets, simhash, vectors
+from tidemark.llm import langid, mixing, perplexity, pieces, secrets, simhash, vectors, warc
 from tidemark.llm.common import table
 
 QUERIES = {}
@@ -110,3 +110,30 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op2_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.judged(table(spark, sf_dir, "documents"))
+
+
+@register
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.read(spark, warc.archived(table(spark, sf_dir, "pages")))
+    return warc.pages_of(found).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+# Base32 of the SHA-1: 160 bits, read in 32 groups of five.
+ORACLES["op6_warc"] = """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS b, sha1(encode(coalesce(html, ''))) AS h FROM pages
+), g AS (
+  SELECT h, max(page_id) AS head FROM p GROUP BY h
+), bits AS (
+  SELECT h, head, array_to_string([['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111']
+    [instr('0123456789abcdef', substr(h, i::INT, 1))] FOR i IN range(1, 41)], '') AS s FROM g
+), d AS (
+  SELECT h, head, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (1 + 16 * (substr(s, (5 * i + 1)::INT, 1) = '1')::INT + 8 * (substr(s, (5 * i + 2)::INT, 1) = '1')::INT + 4 * (substr(s, (5 * i + 3)::INT, 1) = '1')::INT
+     + 2 * (substr(s, (5 * i + 4)::INT, 1) = '1')::INT + (substr(s, (5 * i + 5)::INT, 1) = '1')::INT)::INT, 1) FOR i IN range(32)], '') AS digest FROM bits
+)
+SELECT p.page_id, octet_length(p.b)::BIGINT AS payload_bytes, d.digest AS payload_digest,
+       CASE WHEN p.page_id = d.head THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN p.page_id <> d.head THEN d.head END AS refers_to
+FROM p JOIN d ON d.h = p.h
+"""
