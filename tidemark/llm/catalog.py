@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, langid, mixing, perplexity, pieces, secrets, simhash, vectors, warc
+from tidemark.llm import chat, langid, mixing, perplexity, pieces, secrets, simhash, substrings, vectors, warc
 from tidemark.llm.common import table
 
 QUERIES = {}
@@ -167,3 +167,8 @@ SELECT conv_id, count(*) AS n_turns,
        sum(n + r + 24)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id
 """
+
+
+@register
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.without_repeats(table(spark, sf_dir, "documents"), digest=True)
