@@ -92,12 +92,17 @@ def links(classes: DataFrame, distance: int = 2, hot_segment: int = HOT_SEGMENT)
     """(fp, other) for different fingerprints at most `distance` (0 to 3) bits apart; classes: one row per fp.
 
     Pairs are listed once. Segment values that more than `hot_segment` fingerprints share are
-    looked up another way (up to distance 2): their fingerprints meet at common neighbours
+    looked up another way at distance 2: their fingerprints meet at common neighbours
     one bit away, and all that meet at one neighbour are linked to the smallest of them. That
     gives the same components from 65 rows a fingerprint, however large the segment's group.
     """
     if not 0 <= distance <= 3:
         raise ValueError("distance must be 0 to 3: beyond that balls of one bit would miss pairs")
+    if distance < 2:  # the whole fingerprint is the segment: its ball holds exactly the pairs
+        free = F.filter(_single_bits(64), lambda bit: F.col("fp").bitwiseAND(bit) == 0)
+        flips = classes.select(F.col("fp").alias("other"), F.explode(free).alias("bit")).filter(F.lit(distance == 1))
+        flips = flips.select("other", F.col("other").bitwiseXOR(F.col("bit")).alias("fp"))
+        return classes.select("fp").join(flips, "fp").select(F.greatest("fp", "other").alias("fp"), F.least("fp", "other").alias("other"))
     radii = segment_radii(distance)
     used = [i for i, r in enumerate(radii) if r >= 0]
     entries = classes.select("fp", F.explode(F.array(*[_segment(i) for i in used])).alias("key"))
@@ -108,7 +113,7 @@ def links(classes: DataFrame, distance: int = 2, hot_segment: int = HOT_SEGMENT)
 
     hot = entries.groupBy("key").count().filter(F.col("count") > hot_segment).select("key")
     met = None
-    if distance <= 2 and not hot.isEmpty():
+    if distance == 2 and not hot.isEmpty():
         hot = written(hot, "hot-segments")
         around = F.concat(F.array(F.lit(0).cast("bigint")), _single_bits(64))
         touched = entries.join(hot, "key", "left_semi").select("fp").unionByName(
