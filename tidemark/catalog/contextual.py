@@ -40,7 +40,8 @@ in_ AS (SELECT user_id, item_id, CASE WHEN max(score) OVER w = min(score) OVER w
   FROM icf SEMI JOIN act USING (item_id) WINDOW w AS (PARTITION BY user_id)),
 rr AS (SELECT item_id, 0.6 * n7 / total_events + 0.4 / (1 + idle) AS r FROM b),
 rn AS (SELECT item_id, (r - min(r) OVER ()) / (max(r) OVER () - min(r) OVER ()) AS r FROM rr),
-cx AS (SELECT item_id, least(1, greatest(0, (list_cosine_similarity(CAST(embedding[1:9] AS DOUBLE[]), CAST({CTX9} AS DOUBLE[])) + 1) / 2)) AS c FROM act),
+cx AS (SELECT item_id, CASE WHEN embedding IS NULL THEN 0.5 + CASE WHEN is_premium THEN 0.1 ELSE 0 END
+  ELSE least(1, greatest(0, (list_cosine_similarity(CAST(embedding[1:9] AS DOUBLE[]), CAST({CTX9} AS DOUBLE[])) + 1) / 2)) END AS c FROM act),
 cn AS (SELECT item_id, (c - min(c) OVER ()) / (max(c) OVER () - min(c) OVER ()) AS c FROM cx),
 gg AS (SELECT cn.item_id, 0.2 * c + 0.2 * coalesce(r, 0) AS g FROM cn LEFT JOIN rn USING (item_id)),
 bs AS (SELECT u.user_id, gg.item_id, g + 0.3 * coalesce(a.s, 0) + 0.3 * coalesce(i.s, 0) AS score FROM users u CROSS JOIN gg
@@ -117,8 +118,10 @@ LAYOUT = f"""{SCORES},
 cand AS (SELECT * FROM bs QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY round(score, 8) DESC, item_id) <= 18),
 us_ AS (SELECT user_id, item_id, count(*) AS uses FROM interactions GROUP BY ALL),
 ly AS (SELECT c.user_id, c.item_id, coalesce(uses, 0) AS uses, 1.2 * (0.40 * c.score + 0.20 * (0.5 + CASE WHEN i.is_premium THEN 0.1 ELSE 0 END) + 0.15 * (0.5 + 0.5 * least(coalesce(uses, 0) / 10.0, 1))
-  + 0.10 * least(1, coalesce(rr.r, 0)) + 0.15 * (list_dot_product(CAST(i.embedding[1:18] AS DOUBLE[]), CAST({LONG18} AS DOUBLE[]))
-    / sqrt(list_dot_product(CAST(i.embedding AS DOUBLE[]), CAST(i.embedding AS DOUBLE[]))) + 1) / 2) AS score
+  + 0.10 * CASE WHEN rr.item_id IS NOT NULL THEN least(1, coalesce(rr.r, 0))
+      ELSE greatest(0, 1 - 0.05 * date_diff('day', i.created_at, TIMESTAMP '2024-01-31 10:00:00')) END
+  + 0.15 * coalesce((list_dot_product(CAST(i.embedding[1:18] AS DOUBLE[]), CAST({LONG18} AS DOUBLE[]))
+    / sqrt(list_dot_product(CAST(i.embedding AS DOUBLE[]), CAST(i.embedding AS DOUBLE[]))) + 1) / 2, 0)) AS score
   FROM cand c JOIN items i USING (item_id) LEFT JOIN us_ USING (user_id, item_id) LEFT JOIN rr USING (item_id))"""
 
 

@@ -474,16 +474,20 @@ def _(spark, d):
 
 @query("event_ages", f"""
 WITH a AS (SELECT id, (epoch_us({T0}) - epoch_us(event_time)) / 1000000.0 AS s FROM interactions)
-SELECT id, CASE WHEN s < 86400 THEN CAST(floor(s / 3600) AS BIGINT) || 'h ' || CAST(floor((s % 3600) / 60) AS BIGINT) || 'm'
+SELECT id, CASE WHEN s < 1 THEN printf('%.2f', s * 1000) || 'ms' WHEN s < 60 THEN printf('%.2f', s) || 's'
+  WHEN s < 3600 THEN CAST(floor(s / 60) AS BIGINT) || 'm ' || printf('%.2f', s % 60) || 's'
+  WHEN s < 86400 THEN CAST(floor(s / 3600) AS BIGINT) || 'h ' || CAST(floor((s % 3600) / 60) AS BIGINT) || 'm'
   ELSE CAST(floor(s / 86400) AS BIGINT) || 'd ' || CAST(floor((s % 86400) / 3600) AS BIGINT) || 'h' END AS age,
-  CASE WHEN s < 86400 THEN CAST(floor(s / 3600) AS BIGINT) || CASE WHEN floor(s / 3600) = 1 THEN ' hour ago' ELSE ' hours ago' END
+  CASE WHEN s < 60 THEN CAST(floor(s) AS BIGINT) || ' seconds ago'
+       WHEN s < 3600 THEN CAST(floor(s / 60) AS BIGINT) || CASE WHEN floor(s / 60) = 1 THEN ' minute ago' ELSE ' minutes ago' END
+       WHEN s < 86400 THEN CAST(floor(s / 3600) AS BIGINT) || CASE WHEN floor(s / 3600) = 1 THEN ' hour ago' ELSE ' hours ago' END
        WHEN s < 2592000 THEN CAST(floor(s / 86400) AS BIGINT) || CASE WHEN floor(s / 86400) = 1 THEN ' day ago' ELSE ' days ago' END
        ELSE CAST(floor(s / 2592000) AS BIGINT) || CASE WHEN floor(s / 2592000) = 1 THEN ' month ago' ELSE ' months ago' END END AS said,
   round(s / 3600, 4) AS hours, round(exp(-floor(s / 86400) / 30.0), 6) AS day_decay, round(exp(-s / 3600 / 24.0), 6) AS hour_decay
-FROM a WHERE s >= 3600""")
+FROM a""")
 def _(spark, d):
     now, ts = tf.as_ts(AS_OF), F.col("event_time")
-    rows = interactions(spark, d).withColumn("s", tf.seconds_between(ts, now)).filter("s >= 3600")
+    rows = interactions(spark, d).withColumn("s", tf.seconds_between(ts, now))
     age = text.format_duration(F.col("s"))
     return rows.select(
         "id",
@@ -516,11 +520,11 @@ def _(spark, d):
 
 
 @query("event_context_hash", """
-SELECT id, substr(sha256('{"browser":"' || browser || '","hour":' || hour(event_time) || ',"os":"' || os || '"}'), 1, 16) AS context_hash
-FROM interactions WHERE browser IS NOT NULL""")
+SELECT id, substr(sha256('{' || coalesce('"browser":"' || browser || '",', '') || '"hour":' || hour(event_time) || ',"os":"' || os || '"}'), 1, 16) AS context_hash
+FROM interactions""")
 def _(spark, d):
     ctx = F.struct("browser", F.hour("event_time").alias("hour"), "os")
-    return interactions(spark, d).filter("browser IS NOT NULL").select("id", text.context_hash(ctx).alias("context_hash"))
+    return interactions(spark, d).select("id", text.context_hash(ctx).alias("context_hash"))
 
 
 @query("item_embedding_to_first", """

@@ -326,8 +326,8 @@ SELECT user_id, item_id, round({NORM_SQL[method]}, 5) AS score FROM s JOIN t USI
 for _m in NORM_SQL:
     _normalise(_m)
 
-TWO = f"""{WEIGHTED}, a AS (SELECT user_id, item_id, w AS score FROM ww WHERE item_id < 70),
-b AS (SELECT user_id, item_id, count(*)::DOUBLE AS score FROM interactions WHERE item_id >= 30 GROUP BY ALL),
+TWO = f"""{WEIGHTED}, a AS (SELECT user_id, item_id, w AS score FROM ww),
+b AS (SELECT user_id, item_id, count(*)::DOUBLE AS score FROM interactions WHERE event_name <> 'error_event' GROUP BY ALL),
 u AS (SELECT *, 'a' AS src, 0.6 AS wt FROM a UNION ALL SELECT *, 'b', 0.4 FROM b)"""
 PLACED = """p AS (SELECT *, row_number() OVER (PARTITION BY user_id, src ORDER BY score DESC, item_id) AS r,
   count(*) OVER (PARTITION BY user_id, src) AS n FROM u)"""
@@ -342,8 +342,10 @@ BLEND_SQL = {
 def _blend(method):
     @query(f"blend_{method}", f"WITH {TWO}, {PLACED} {BLEND_SQL[method]}")
     def run(spark, d):
-        counts = cf.interaction_weights(interactions(spark, d), "count").withColumnRenamed("w", "score")
-        sources = {"a": base(spark, d).filter("item_id < 70"), "b": counts.filter("item_id >= 30")}
+        # Two sources that differ by nature: all weighted interactions, and how often an item was used without an error.
+        used = interactions(spark, d).filter("event_name <> 'error_event'")
+        counts = cf.interaction_weights(used, "count").withColumnRenamed("w", "score")
+        sources = {"a": base(spark, d), "b": counts}
         return scoring.blend(sources, {"a": 0.6, "b": 0.4}, method).withColumn("score", F.round("score", 6))
 
 

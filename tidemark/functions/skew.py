@@ -40,6 +40,14 @@ def hot_keys(
     return df.sparkSession.createDataFrame(rows, found.schema) if rows else None
 
 
+def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where null equals null; keeps the left side's key columns."""
+    theirs = right.select(*[F.col(c).alias(f"_same_{c}") if c in keys else F.col(c) for c in right.columns])
+    same = [F.col(c).eqNullSafe(F.col(f"_same_{c}")) for c in keys]
+    joined = left.join(theirs, same, how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"_same_{c}" for c in keys])
+
+
 def slice_hot(
     df: DataFrame, keys: Sequence[str], ts: str, slice_seconds: int = 300, min_rows: int | None = None
 ) -> DataFrame:
@@ -52,7 +60,7 @@ def slice_hot(
         return df
     number = F.floor(F.unix_micros(ts) / F.lit(slice_seconds * 1_000_000))
     return (
-        df.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), list(keys), "left")
+        join_same(df, F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")
         .withColumn("_slice", F.when(F.col("_hot"), number).otherwise(F.lit(0).cast("bigint")))
         .drop("_hot")
     )
@@ -81,7 +89,7 @@ def lag_in_slices(df: DataFrame, keys: Sequence[str], order: Sequence[str], colu
             .withColumn("_before", F.lag("_last").over(W.partitionBy(*keys).orderBy("_slice")))
             .drop("_last")
         )
-        joined = df.withColumn("_lag", F.lag(packed).over(w)).join(last, [*keys, "_slice"], "left")
+        joined = join_same(df.withColumn("_lag", F.lag(packed).over(w)), last, [*keys, "_slice"], "left")
         joined = joined.withColumn("_prev", F.coalesce("_lag", "_before")).drop("_lag", "_before")
     return joined.select(
         *df.columns, F.col("_prev").isNull().alias("_first"), *[F.col("_prev")[out].alias(out) for out in columns]
@@ -99,7 +107,7 @@ def running_in_slices(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     totals = _carry(df, keys, [F.sum(expr).alias(f"_t_{out}") for out, expr in columns.items()])
     totals = totals.select(*keys, "_slice", *[F.sum(f"_t_{o}").over(before).alias(f"_b_{o}") for o in columns])
     local = df.select("*", *[F.sum(expr).over(w).alias(f"_w_{out}") for out, expr in columns.items()])
-    joined = local.join(totals, [*keys, "_slice"], "left")
+    joined = join_same(local, totals, [*keys, "_slice"], "left")
     return joined.select(*kept, *[(F.col(f"_w_{o}") + F.coalesce(F.col(f"_b_{o}"), F.lit(0))).alias(o) for o in columns])
 
 
@@ -123,19 +131,19 @@ def quantiles(
         data, keys = data.withColumn("_all", F.lit(1)), ["_all"]
     names, ps = list(probs), [float(p) for p in probs.values()]
     hot = hot_keys(data.select(*keys), keys, min_rows)
-    small = data if hot is None else data.join(F.broadcast(hot), keys, "left_anti")
+    small = data if hot is None else join_same(data, F.broadcast(hot), keys, "left_anti")
     exact = small.groupBy(*keys).agg(F.percentile("_v", ps).alias("_q"))
     exact = exact.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
     if hot is None:
         return exact.drop("_all")
 
-    big = data.join(F.broadcast(hot), keys, "left_semi")
+    big = join_same(data, F.broadcast(hot), keys, "left_semi")
     eps = 2.0 / accuracy
     bounds = [b for p in ps for b in (max(p - eps, 0.0), min(p + eps, 1.0))]
     brackets = big.groupBy(*keys).agg(
         F.count("_v").alias("_n"), F.percentile_approx("_v", bounds, accuracy).alias("_b")
     )  # one row per hot key
-    tagged = big.join(F.broadcast(brackets), keys)
+    tagged = join_same(big, F.broadcast(brackets), keys)
     lo = [F.col("_b")[2 * i] for i in range(len(ps))]
     hi = [F.col("_b")[2 * i + 1] for i in range(len(ps))]
     outside = tagged.groupBy(*keys, "_n").agg(
@@ -149,7 +157,7 @@ def quantiles(
     )
     inside = tagged.select(*keys, "_v", F.explode(which).alias("_i")).groupBy(*keys, "_i", "_v").agg(F.count(F.lit(1)).alias("_c"))
     w = W.partitionBy(*keys, "_i").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
-    ranked = inside.withColumn("_cum", F.sum("_c").over(w)).join(F.broadcast(outside), keys)
+    ranked = inside.withColumn("_cum", F.sum("_c").over(w)).transform(join_same, F.broadcast(outside), keys)
     pick: list[Column] = []
     for i, p in enumerate(ps):
         pos = F.lit(p) * (F.col("_n") - 1)
@@ -157,7 +165,7 @@ def quantiles(
         upto, start = F.col(f"_below{i}") + F.col("_cum"), F.col(f"_below{i}") + F.col("_cum") - F.col("_c")
         for tag, rank in (("f", F.floor(pos)), ("c", F.ceil(pos))):
             pick.append(F.max(F.when(mine & (start <= rank) & (rank < upto), F.col("_v"))).alias(f"_{tag}{i}"))
-    picked = ranked.groupBy(*keys).agg(*pick).join(F.broadcast(outside), keys)
+    picked = join_same(ranked.groupBy(*keys).agg(*pick), F.broadcast(outside), keys)
     cols = []
     for i, (name, p) in enumerate(zip(names, ps)):
         pos = F.lit(p) * (F.col("_n") - 1)

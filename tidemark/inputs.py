@@ -33,9 +33,8 @@ VIEWS = {
     "items": """
 SELECT p.p_partkey AS item_id, CONCAT('item-', CAST(p.p_partkey AS STRING)) AS item_code, p.p_name AS item_name,
        p.p_brand AS item_type, p.p_type AS category, p.p_partkey % 10 <> 9 AS is_active,
-       p.p_size >= 40 AS is_premium, e.embedding
-FROM part p LEFT JOIN embeddings e ON e.vec_id = p.p_partkey
-WHERE p.p_partkey < 110""",
+       p.p_size >= 40 AS is_premium, e.embedding, TIMESTAMP '2024-01-31 00:00:00' - p.p_size * INTERVAL '1' DAY AS created_at
+FROM part p LEFT JOIN embeddings e ON e.vec_id = p.p_partkey""",
     "users": """
 SELECT c_custkey AS user_id, CONCAT('u-', CAST(c_custkey AS STRING)) AS distinct_id, c_name AS name,
        CASE c_nationkey % 4 WHEN 0 THEN 'KR' WHEN 1 THEN 'US' WHEN 2 THEN 'DE' ELSE NULL END AS country_code,

@@ -133,6 +133,11 @@ def user_growth(users: DataFrame, features: DataFrame) -> DataFrame:
     )
 
 
+def _by_name() -> Column:
+    # Events without a name are counted in the totals; a map has no place for them.
+    return F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("event_name").isNotNull(), F.struct("event_name", "n")))))
+
+
 def item_statistics(events: DataFrame, items: DataFrame, features: DataFrame, as_of: str = AS_OF) -> DataFrame:
     """Per item: event distribution map, recent use and the feature row."""
     counts = events.groupBy("item_id", "event_name").agg(
@@ -144,7 +149,7 @@ def item_statistics(events: DataFrame, items: DataFrame, features: DataFrame, as
         F.sum("n").alias("events"),
         F.sum("d7").alias("last_7d"),
         F.sum("d30").alias("last_30d"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("event_name", "n")))).alias("distribution"),
+        _by_name().alias("distribution"),
     )
     return items.select("item_id", "item_name", "category").join(stats, "item_id", "left").join(
         features.select("item_id", "popularity_score", "trending_score"), "item_id", "left"
@@ -158,7 +163,7 @@ def user_statistics(events: DataFrame, users: DataFrame) -> DataFrame:
     stats = counts.groupBy("user_id").agg(
         F.sum("n").alias("events"),
         F.max("last").alias("last_event"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("event_name", "n")))).alias("distribution"),
+        _by_name().alias("distribution"),
     )
     profile = F.struct("country_code", "account_type").alias("profile")
     return users.select("user_id", "distinct_id", profile).join(stats, "user_id", "left").withColumn(

@@ -119,11 +119,14 @@ def event_category(kind: Column) -> Column:
 
 
 def usable_events(df: DataFrame) -> DataFrame:
-    """Rows with a user and a time, the earliest one per insert_id. Null insert_ids share one row,
-    like any other repeated value."""
+    """Rows with a user and a time, the earliest one per insert_id. Rows without an insert_id all stay:
+    nothing says that they repeat each other."""
     users = F.when(~F.col("distinct_id").isin(NO_USER), F.col("distinct_id"))
     rows = df.withColumn("distinct_id", users).filter(F.col("distinct_id").isNotNull() & F.col("event_time").isNotNull())
-    return first_per_key(rows, "insert_id", ["event_time", "distinct_id"]) if "insert_id" in df.columns else rows
+    if "insert_id" not in df.columns:
+        return rows
+    once = first_per_key(rows.filter(F.col("insert_id").isNotNull()), "insert_id", ["event_time", "distinct_id"])
+    return once.unionByName(rows.filter(F.col("insert_id").isNull()))
 
 
 def with_time_parts(df: DataFrame) -> DataFrame:

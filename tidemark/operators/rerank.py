@@ -1,7 +1,7 @@
-"""Greedy re-rankers over each user's short candidate list.
+"""Greedy re-rankers over each user's candidate list.
 
-Candidates are cut to a bounded list per user first (`scoring.top_k`), packed into one row
-per user, and re-ordered in Arrow batches. The greedy step itself has no SQL form.
+Candidates are packed into one row per user and re-ordered in Arrow batches. The whole list is
+ordered unless the caller asks for a limit; callers with long lists cut them first (`scoring.top_k`).
 """
 
 from __future__ import annotations
@@ -13,9 +13,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_CANDIDATES = 3000
-
-
 def pack(cands: DataFrame, *columns: str) -> DataFrame:
     """One row per user: an array of (item_id, score, *columns) by score desc, item asc."""
     entry = F.struct((-F.round("score", 10)).alias("o"), "item_id", "score", *columns)
@@ -92,7 +89,7 @@ def _category_gap(entries: list, gap: int, limit: int) -> list[int]:
     return chosen + rest[: max(0, limit - len(chosen))]
 
 
-def rerank(packed: DataFrame, method: str, limit: int = MAX_CANDIDATES, lam: float = 0.5, gap: int = 2) -> DataFrame:
+def rerank(packed: DataFrame, method: str, limit: int | None = None, lam: float = 0.5, gap: int = 2) -> DataFrame:
     """(user_id, item_id, score, place) with the original scores in greedy order.
 
     method "mmr": lam * score - (1 - lam) * max similarity, by embedding or category;
@@ -105,7 +102,7 @@ def rerank(packed: DataFrame, method: str, limit: int = MAX_CANDIDATES, lam: flo
     item_type = packed.schema["c"].dataType.elementType["item_id"].dataType.simpleString()
 
     def order(entries: list) -> list[int]:
-        n = min(len(entries), limit)
+        n = len(entries) if limit is None else min(len(entries), limit)
         if method == "category_gap":
             return _category_gap(entries, gap, n)
         score = np.array([e["score"] for e in entries])

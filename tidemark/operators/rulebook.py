@@ -174,20 +174,41 @@ def as_documents(rules: DataFrame) -> DataFrame:
 # --- merging with the old rulebook -------------------------------------------------------------
 
 
+def common_letters(x: Column, y: Column) -> Column:
+    """Length of the longest common subsequence of two short texts, row by row of its table."""
+    letters, n = F.split(y, ""), F.length(y)
+
+    def next_row(row: Column, c: Column) -> Column:
+        def cell(done: Column, j: Column) -> Column:
+            step = F.get(row, j - 1) + F.lit(1)
+            return F.array_append(done, F.when(F.get(letters, j - 1) == c, step).otherwise(F.greatest(F.get(row, j), F.get(done, j - 1))))
+
+        return F.aggregate(F.sequence(F.lit(1), n), F.array(F.lit(0)), cell)
+
+    last = F.aggregate(F.split(x, ""), F.array_repeat(F.lit(0), n + 1), next_row)
+    return F.when((F.length(x) == 0) | (n == 0), F.lit(0)).otherwise(F.get(last, n))
+
+
 def text_similarity(a: Column, b: Column) -> Column:
-    """0..100 over word sets: common words count fully, the rest by edit distance."""
-    words = lambda t: F.array_sort(F.array_distinct(F.filter(F.split(F.lower(t), r"\s+"), lambda w: w != "")))
+    """0..100 over word sets: the best match among the common words and both texts' words in order.
+
+    Two strings match by insertions and deletions over both lengths: 200 * common letters / total length. A text
+    whose words are all in the other one scores 100; nothing scores 0 without words. Case counts.
+    """
+    words = lambda t: F.array_sort(F.array_distinct(F.filter(F.split(t, r"\s+"), lambda w: w != "")))
     wa, wb = words(a), words(b)
     both = F.array_sort(F.array_intersect(wa, wb))
     base = F.array_join(both, " ")
     left = F.trim(F.concat_ws(" ", base, F.array_join(F.array_except(wa, wb), " ")))
     right = F.trim(F.concat_ws(" ", base, F.array_join(F.array_except(wb, wa), " ")))
 
-    def ratio(x: Column, y: Column) -> Column:
-        return F.lit(100.0) * (1.0 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y), F.lit(1)))
-
-    partial = F.when(F.size(both) > 0, F.greatest(ratio(base, left), ratio(base, right))).otherwise(0.0)
-    return F.greatest(ratio(left, right), partial)
+    # The common words start both longer texts, so all their letters are common to them.
+    shared = lambda x: F.lit(200.0) * F.length(base) / (F.length(base) + F.length(x))
+    rest = lambda x: F.substring(x, F.length(base) + 1, F.length(x))
+    whole = F.lit(200.0) * (F.length(base) + common_letters(rest(left), rest(right))) / (F.length(left) + F.length(right))
+    best = F.when(F.size(both) > 0, F.greatest(whole, shared(left), shared(right))).otherwise(whole)
+    within = (F.size(both) > 0) & ((F.size(both) == F.size(wa)) | (F.size(both) == F.size(wb)))
+    return F.when((F.size(wa) == 0) | (F.size(wb) == 0), 0.0).when(within, 100.0).otherwise(best)
 
 
 def match_rules(new: DataFrame, old: DataFrame) -> DataFrame:

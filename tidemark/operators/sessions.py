@@ -54,7 +54,7 @@ def _hot_medians(stats: DataFrame, rows: DataFrame, keys: Sequence[str], min_hot
     if "_slice" not in rows.columns:
         return stats
     hot = skew.quantiles(rows.filter(F.col("_slice") != 0), keys, "gap", {"_hot_median": 0.5}, min_rows=min_hot_rows)
-    joined = stats.join(hot, list(keys), "left")
+    joined = skew.join_same(stats, hot, list(keys), "left")
     return joined.withColumn("median_gap", F.coalesce("median_gap", "_hot_median")).drop("_hot_median")
 
 
@@ -103,7 +103,7 @@ def session_features(events: DataFrame, include_entry_gap: bool = True, min_hot_
         F.sum(F.when(by_name & (F.col("event_name") == "copy_sentence"), F.col("n")).otherwise(0)).alias("copies"),
         F.count_if(by_item & F.col("item").isNotNull()).alias("unique_items"),
         F.count_if(by_tone & F.col("tone").isNotNull()).alias("tone_diversity"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.when(by_name, F.struct("event_name", "n"))))).alias("event_counts"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.when(by_name & F.col("event_name").isNotNull(), F.struct("event_name", "n"))))).alias("event_counts"),
     )
     wide = _hot_medians(wide, rows, key, min_hot_rows)
     minutes = tf.seconds_between(F.col("session_start"), F.col("session_end")) / 60.0

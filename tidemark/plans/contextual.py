@@ -56,6 +56,8 @@ class Moment:
         return pd.Timestamp(self.timestamp).hour
 
 
+RECENCY_LOSS_PER_DAY = 0.05  # fixed value
+
 # --- catalogue scores -----------------------------------------------------------------------
 
 
@@ -300,6 +302,10 @@ def layout_scores(
     bonus = recency_score(features).withColumn("recency", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("recency"))))
     context = moment.vector(items.sparkSession, long=True)
     known = items.join(bonus, "item_id", "left").select("*", context_fit(moment).alias("fit"))
+    if "created_at" in items.columns:  # an item without feature row is judged by its age
+        days = F.floor((F.unix_timestamp(moment.ts) - F.unix_timestamp("created_at")) / 86_400)
+        young = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1.0 - RECENCY_LOSS_PER_DAY * days))
+        known = known.withColumn("recency", F.coalesce("recency", young)).drop("created_at")
     if user_vectors is None:
         # Without user vectors the match with the context is one value per item.
         known = known.withColumn("match", vectors.cosine(F.col("embedding"), context, "unit")).drop("embedding")

@@ -67,9 +67,20 @@ def rows_to_insert(
     return fresh.unionByName(present.filter(F.col(key).isNull()))
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], keep: Sequence[str] = ("id", "created_at")) -> DataFrame:
+def newest_per_key(new: DataFrame, keys: Sequence[str], newest: Sequence[str]) -> DataFrame:
+    """One row per key: the last one in the order of the columns `newest`, then of all columns; null keys are one key."""
+    order = [*newest, *[c for c in new.columns if c not in newest and not isinstance(new.schema[c].dataType, (T.MapType, T.VariantType))]]
+    row = F.struct(*[F.col(c) for c in new.columns])
+    best = new.groupBy(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)]).agg(F.max_by(row, F.struct(*order)).alias("row"))
+    return best.select("row.*")
+
+
+def upsert(
+    old: DataFrame, new: DataFrame, keys: Sequence[str], keep: Sequence[str] = ("id", "created_at"), newest: Sequence[str] = ()
+) -> DataFrame:
     """New snapshot: new values replace old rows of the same key, `keep` columns stay as they were.
 
+    Rows of `new` with one key are reduced to the last in the order of the columns `newest`; null keys meet each other.
     When `new` has only key columns, existing rows win. Full outer join by key; write the
     result to a new path, never over the one being read.
     """
@@ -79,9 +90,9 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], keep: Sequence[s
         extra = new.join(old.select(*keys), keys, "left_anti").distinct()
         return old.unionByName(extra, allowMissingColumns=True)
     a = old.withColumn("_old", F.lit(True)).alias("a")
-    b = new.withColumn("_new", F.lit(True)).alias("b")
-    joined = a.join(b, keys, "full")
-    cols = []
+    b = newest_per_key(new, keys, newest).withColumn("_new", F.lit(True)).alias("b")
+    joined = a.join(b, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys], "full")
+    cols = [F.when(F.col("_old"), F.col(f"a.{k}")).otherwise(F.col(f"b.{k}")).alias(k) for k in keys]
     for c in values:
         if c not in new.columns:
             cols.append(F.col(f"a.{c}").alias(c))
@@ -89,7 +100,7 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], keep: Sequence[s
             cols.append(F.when(F.col("_old"), F.col(f"a.{c}")).otherwise(F.col(f"b.{c}")).alias(c))
         else:
             cols.append(F.when(F.col("_new"), F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")).alias(c))
-    return joined.select(*keys, *cols)
+    return joined.select(*cols)
 
 
 def append(df: DataFrame, path: str, date_of: str | None = None) -> None:
