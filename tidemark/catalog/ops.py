@@ -57,7 +57,10 @@ def _(spark, d):
     return out.withColumn("le", name)
 
 
-@query("ops_histogram_p95")
+@query("ops_histogram_p95", f"""WITH b AS (SELECT unnest([0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 'Infinity'::DOUBLE]) AS le),
+h AS (SELECT {EP} AS endpoint, le, count(*) FILTER (WHERE duration_s <= le) AS n FROM oplog, b GROUP BY ALL),
+r AS (SELECT *, coalesce(lag(le) OVER w, 0) AS low, coalesce(lag(n) OVER w, 0) AS below, 0.95 * max(n) OVER (PARTITION BY endpoint) AS rank FROM h WINDOW w AS (PARTITION BY endpoint ORDER BY le))
+SELECT endpoint, round(CASE WHEN isinf(le) THEN low ELSE low + (le - low) * (rank - below) / (n - below) END, 6) AS quantile FROM r WHERE n >= rank AND below < rank""")
 def _(spark, d):
     return O.histogram_quantile(O.histogram(log(spark, d), ["endpoint"]), ["endpoint"], 0.95).withColumn("quantile", F.round("quantile", 6))
 

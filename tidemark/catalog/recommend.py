@@ -140,8 +140,18 @@ def _(spark, d):
     return cf.user_neighbours(w, 20, min_common=3).withColumn("sim", F.round("sim", 6))
 
 
+def user_metric_sql(w, metric, k):
+    """The k + 1 nearest users of each user, itself included; pairs without a common item do not appear."""
+    return f"""uq AS (SELECT user_id, sum(w * w) AS q, count(*) AS n FROM {w} GROUP BY 1),
+up AS (SELECT a.user_id AS u, b.user_id AS v, sum(a.w * b.w) AS dot, count(*) AS common, corr(a.w, b.w) AS r FROM {w} a JOIN {w} b USING (item_id) GROUP BY ALL),
+pq AS (SELECT up.*, x.q AS qa, y.q AS qb, x.n AS na, y.n AS nb FROM up JOIN uq x ON x.user_id = u JOIN uq y ON y.user_id = v),
+un AS (SELECT u AS user_id, v AS other_id, round({METRIC_SQL[metric]}, 12) AS sim, common FROM pq),
+ur AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY (user_id = other_id) DESC, sim DESC, other_id) AS INT) AS rank FROM un)
+SELECT user_id, other_id, round(sim, 6) AS sim, common, rank FROM ur WHERE rank <= {k + 1} AND other_id <> user_id AND sim > 0"""
+
+
 def _user_metric(metric):
-    @query(f"user_neighbours_{metric}")
+    @query(f"user_neighbours_{metric}", f"WITH {WEIGHTED}, {user_metric_sql('ww', metric, 10)}")
     def run(spark, d):
         w = cf.interaction_weights(interactions(spark, d), "weighted")
         return cf.user_neighbours(w, 10, metric=metric).withColumn("sim", F.round("sim", 6))
@@ -151,7 +161,7 @@ for _m in ("jaccard", "pearson", "euclidean"):
     _user_metric(_m)
 
 
-@query("user_neighbours_purchases")
+@query("user_neighbours_purchases", f"WITH w AS (SELECT user_id, item_id, count(*)::DOUBLE AS w FROM purchases GROUP BY ALL), {user_metric_sql('w', 'cosine', 10)}")
 def _(spark, d):
     w = cf.interaction_weights(load(spark, d, "purchases"), "count")
     return cf.user_neighbours(w, 10).withColumn("sim", F.round("sim", 6))

@@ -195,8 +195,7 @@ def quality_rows(spark, d):
     )
 
 
-@query("quality_checks", """
-WITH q AS (SELECT id, user_id, event_name, tone, browser, event_time, response_time_ms - 20 AS w FROM interactions),
+QUALITY = """WITH q AS (SELECT id, user_id, event_name, tone, browser, event_time, response_time_ms - 20 AS w FROM interactions),
 a AS (SELECT count(*) AS n, count(*) - count(tone) AS nt, count(*) - count(browser) AS nb, count(*) FILTER (WHERE w < 0) AS neg,
   quantile_cont(w, 0.25) AS q1, quantile_cont(w, 0.75) AS q3 FROM q),
 o AS (SELECT count(*) AS c FROM q, a WHERE w < q1 - 1.5 * (q3 - q1) OR w > q3 + 1.5 * (q3 - q1)),
@@ -204,13 +203,17 @@ r AS (SELECT 'data_completeness' AS check_name, 1 - (nt + nb) / (n * 8.0) >= 0.9
 UNION ALL SELECT 'column_completeness_tone', false, 'warning' FROM a WHERE nt / n > 0.1 UNION ALL SELECT 'column_completeness_browser', false, 'warning' FROM a WHERE nb / n > 0.1
 UNION ALL SELECT 'wait_duration_negative_values', false, 'error' FROM a WHERE neg > 0 UNION ALL SELECT 'duplicate_rows', true, 'warning'
 UNION ALL SELECT 'uniqueness_user_id', false, 'warning' FROM q HAVING count(DISTINCT user_id) / count(user_id) < 0.95
-UNION ALL SELECT 'channel_imbalance', false, 'info' UNION ALL SELECT 'outliers_wait_duration', false, 'info' FROM o, a WHERE c / n > 0.05)
-SELECT * FROM r""")
+UNION ALL SELECT 'channel_imbalance', false, 'info' UNION ALL SELECT 'outliers_wait_duration', false, 'info' FROM o, a WHERE c / n > 0.05)"""
+
+
+@query("quality_checks", QUALITY + " SELECT * FROM r")
 def _(spark, d):
     return quality.quality_checks(quality_rows(spark, d)).select("check_name", "passed", "severity")
 
 
-@query("quality_report")
+@query("quality_report", QUALITY + """ SELECT count(*) FILTER (WHERE NOT passed AND severity = 'error') = 0 AS overall_passed, count(*) AS total_checks,
+  count(*) FILTER (WHERE passed) AS passed_checks, count(*) FILTER (WHERE NOT passed) AS failed_checks,
+  count(*) FILTER (WHERE NOT passed AND severity = 'error') AS errors, count(*) FILTER (WHERE NOT passed AND severity = 'warning') AS warnings FROM r""")
 def _(spark, d):
     return quality.report(quality.quality_checks(quality_rows(spark, d)))
 
@@ -319,7 +322,11 @@ def _(spark, d):
     return cooccurrence.item_cooccurrence(interactions(spark, d)).withColumn("score", F.round("score", 6))
 
 
-@query("items_used_together")
+@query("items_used_together", """
+WITH c AS (SELECT a.item_id AS item_a, b.item_id AS item_b, count(*) AS n FROM interactions a JOIN interactions b ON a.user_id = b.user_id AND a.item_id <> b.item_id
+  AND b.event_time BETWEEN a.event_time - INTERVAL 24 HOURS AND a.event_time + INTERVAL 24 HOURS GROUP BY ALL),
+k AS (SELECT item_a, item_b, row_number() OVER (PARTITION BY item_a ORDER BY n DESC, item_b) AS rank FROM c)
+SELECT item_a AS item_id, string_agg(CAST(item_b AS VARCHAR), ',' ORDER BY rank) AS used_with FROM k WHERE rank <= 10 GROUP BY 1""")
 def _(spark, d):
     pairs = cooccurrence.item_cooccurrence(interactions(spark, d))
     out = cooccurrence.used_together(pairs)
