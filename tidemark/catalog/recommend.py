@@ -250,7 +250,27 @@ SELECT user_id, item_id, round(score, 6) AS score, reasons FROM sc
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY round(score, 10) DESC, item_id) <= {k}"""
 
 
-@query("recommend_popularity_cf")
+def greedy_sql(value, limit):
+    """Rows of bl (user_id, pos, score, sv: similarities to the places) in greedy order: the first place, then the best value each time."""
+    return f"""g AS (SELECT user_id, [1] AS chosen FROM bl WHERE pos = 1
+UNION ALL SELECT user_id, list_append(chosen, nxt) FROM (SELECT g.user_id, g.chosen, b.pos AS nxt,
+    row_number() OVER (PARTITION BY g.user_id ORDER BY round({value}, 10) DESC, b.pos) AS rn
+  FROM g JOIN bl b ON b.user_id = g.user_id AND NOT list_contains(g.chosen, b.pos) AND len(g.chosen) < {limit}) WHERE rn = 1),
+gl AS (SELECT user_id, arg_max(chosen, len(chosen)) AS chosen FROM g GROUP BY 1),
+pl AS (SELECT user_id, unnest(chosen) AS pos, unnest(range(1, len(chosen) + 1)) AS place FROM gl)"""
+
+
+SPREAD_SQL = greedy_sql("0.3 * b.score + 0.7 * (1 - list_sum([b.sv[p] FOR p IN g.chosen]) / len(g.chosen))", 10)
+
+
+@query("recommend_popularity_cf", f"""WITH RECURSIVE {HYBRID}, sc AS (SELECT user_id, item_id, 0.25 * ucf + 0.25 * icf + 0.40 * pop AS score, {REASONS_SQL} AS reasons FROM al),
+t AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 10) DESC, item_id) AS pos FROM sc QUALIFY pos <= 10),
+bl AS (SELECT a.user_id, a.pos, any_value(a.score) AS score, list(coalesce(sm.sim, 0) ORDER BY b.pos) AS sv
+  FROM t a JOIN t b USING (user_id) LEFT JOIN sm ON sm.item_a = a.item_id AND sm.item_b = b.item_id GROUP BY a.user_id, a.pos),
+{SPREAD_SQL},
+sz AS (SELECT user_id, count(*) AS n FROM t GROUP BY 1)
+SELECT t.user_id, t.item_id, round(t.score, 6) AS score, CAST(CASE WHEN n <= 3 THEN t.pos ELSE place END AS INT) AS rank, t.reasons
+FROM t JOIN sz USING (user_id) JOIN pl ON pl.user_id = t.user_id AND pl.pos = t.pos""")
 def _(spark, d):
     out = P.recommend(P.fit(training_events(spark, d)))
     return out.withColumn("score", F.round("score", 6))
@@ -404,7 +424,17 @@ def _(spark, d):
     return scoring.top_k(base(spark, d), 10).withColumn("score", F.round("score", 6))
 
 
-@query("rerank_mmr")
+SHORT_LIST = f"""{WEIGHTED}, {BASE},
+t AS (SELECT s.user_id, s.item_id, s.score, i.category, CAST(i.embedding AS DOUBLE[]) AS e,
+  row_number() OVER (PARTITION BY s.user_id ORDER BY round(s.score, 10) DESC, s.item_id) AS pos
+  FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY round(score, 10) DESC, item_id) <= 20) s JOIN items i USING (item_id))"""
+
+
+@query("rerank_mmr", f"""WITH RECURSIVE {SHORT_LIST},
+bl AS (SELECT a.user_id, a.pos, any_value(a.score) AS score, list(greatest(0, CASE WHEN a.e IS NOT NULL AND b.e IS NOT NULL THEN list_cosine_similarity(a.e, b.e)
+    WHEN a.category = b.category AND a.category <> '' THEN 1 ELSE 0 END) ORDER BY b.pos) AS sv FROM t a JOIN t b USING (user_id) GROUP BY a.user_id, a.pos),
+{greedy_sql("0.7 * b.score - 0.3 * list_max([b.sv[p] FOR p IN g.chosen])", 20)}
+SELECT t.user_id, t.item_id, round(t.score, 6) AS score, CAST(place AS INT) AS place FROM t JOIN pl ON pl.user_id = t.user_id AND pl.pos = t.pos""")
 def _(spark, d):
     from tidemark.operators import rerank
 
@@ -413,7 +443,14 @@ def _(spark, d):
     return rerank.rerank(rerank.pack(best.join(meta, "item_id"), "category", "embedding"), "mmr", lam=0.7).withColumn("score", F.round("score", 6))
 
 
-@query("rerank_category_gap")
+@query("rerank_category_gap", f"""WITH RECURSIVE {SHORT_LIST},
+g AS (SELECT user_id, 1 AS upto, [1] AS chosen, category AS last FROM t WHERE pos = 1
+UNION ALL SELECT g.user_id, g.upto + 1, CASE WHEN len(chosen) < 8 AND t.category IS DISTINCT FROM g.last THEN list_append(chosen, t.pos) ELSE chosen END,
+  CASE WHEN len(chosen) < 8 AND t.category IS DISTINCT FROM g.last THEN t.category ELSE g.last END FROM g JOIN t ON t.user_id = g.user_id AND t.pos = g.upto + 1),
+f AS (SELECT user_id, arg_max(chosen, upto) AS chosen, max(upto) AS n FROM g GROUP BY 1),
+o AS (SELECT user_id, list_concat(chosen, [p FOR p IN range(1, n + 1) IF NOT list_contains(chosen, p)])[1:8] AS l FROM f),
+pl AS (SELECT user_id, unnest(l) AS pos, unnest(range(1, len(l) + 1)) AS place FROM o)
+SELECT t.user_id, t.item_id, round(t.score, 6) AS score, CAST(place AS INT) AS place FROM t JOIN pl ON pl.user_id = t.user_id AND pl.pos = t.pos""")
 def _(spark, d):
     from tidemark.operators import rerank
 

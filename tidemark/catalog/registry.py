@@ -21,6 +21,9 @@ def with_views(sql: str) -> str:
     used = [name for name in VIEWS if re.search(rf"\b{name}\b", sql)]
     views = [f"{name} AS MATERIALIZED ({VIEWS[name].strip()})" for name in used]
     body = sql.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":  # says so once for all tables of the query
+        views.append(body[15:].lstrip())
+        return "WITH RECURSIVE " + ",\n".join(views)
     if body[:5].upper() == "WITH ":
         views.append(body[5:].lstrip())
         return "WITH " + ",\n".join(views)
