@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidemark.catalog.features import ITEM_BASE
-from tidemark.catalog.recommend import HYBRID, ITEM_CF, ITEM_TOP, PAIRS, USER_CF, USER_TOP, WEIGHTED, decayed_sql
+from tidemark.catalog.recommend import HYBRID, ITEM_CF, ITEM_TOP, PAIRS, USER_CF, USER_TOP, WEIGHTED, decayed_sql, greedy_sql
 from tidemark.catalog.registry import query
 from tidemark.functions.stage import stage
 from tidemark.inputs import interactions, items, load, training_events, users
@@ -55,7 +55,18 @@ def _(spark, d):
     return C.hybrid(users(spark, d), personal, catalogue, 10).select("user_id", "item_id", F.round("score", 5).alias("score"))
 
 
-@query("recommend_hybrid_diversified")
+# Greedy order with similarities in [-1, 1]; the largest one to what is placed counts, negative ones moved to [0, 0.5].
+SIGNED = "list_max([b.sv[p] FOR p IN g.chosen])"
+SIGNED_VALUE = f"0.5 * b.score - 0.5 * CASE WHEN {SIGNED} < 0 THEN ({SIGNED} + 1) / 2 ELSE {SIGNED} END"
+
+
+@query("recommend_hybrid_diversified", f"""WITH RECURSIVE {SCORES},
+t AS (SELECT c.user_id, c.item_id, c.score, i.category, CAST(i.embedding AS DOUBLE[]) AS e, row_number() OVER (PARTITION BY user_id ORDER BY round(c.score, 10) DESC, item_id) AS pos
+  FROM (SELECT * FROM bs QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY round(score, 8) DESC, item_id) <= 10) c JOIN items i USING (item_id)),
+bl AS (SELECT a.user_id, a.pos, any_value(a.score) AS score, list(CASE WHEN a.e IS NOT NULL AND b.e IS NOT NULL THEN list_cosine_similarity(a.e, b.e)
+    WHEN a.category = b.category AND a.category <> '' THEN 1 ELSE 0 END ORDER BY b.pos) AS sv FROM t a JOIN t b USING (user_id) GROUP BY a.user_id, a.pos),
+{greedy_sql(SIGNED_VALUE, 10)}
+SELECT t.user_id, t.item_id, round(t.score, 5) AS score, CAST(place AS INT) AS rank FROM t JOIN pl ON pl.user_id = t.user_id AND pl.pos = t.pos""")
 def _(spark, d):
     personal, catalogue = parts(spark, d)
     top = stage(C.hybrid(users(spark, d), personal, catalogue, 10), "hybrid")
