@@ -2,7 +2,7 @@
 
 import importlib
 
-THEMES = ["activity", "features", "recommend", "ops", "tables", "contextual", "streams"]
+THEMES = ["activity", "features", "recommend", "ops", "tables", "storage", "contextual", "streams"]
 
 
 def load_all():
