@@ -100,11 +100,15 @@ def diversity_score(events: DataFrame, as_of: str = AS_OF, days: int | None = 7)
 
 
 def kpi_summary(events: DataFrame, users: DataFrame, as_of: str = AS_OF, days: int | None = 30) -> DataFrame:
-    window = _recent(events, as_of, days).agg(
-        F.count(F.lit(1)).alias("total_events"),
+    # One row per user, day and name first: the distinct counts then expand that table and not the events.
+    cells = _recent(events, as_of, days).groupBy("user_id", F.to_date("event_time").alias("day"), "event_name").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("response_time_ms").alias("waited"), F.count("response_time_ms").alias("timed")
+    )
+    window = cells.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_events"),
         F.count_distinct("user_id").alias("active_users"),
-        F.count_distinct(F.to_date("event_time")).alias("active_days"),
-        F.avg("response_time_ms").alias("avg_response"),
+        F.count_distinct("day").alias("active_days"),
+        F.try_divide(F.sum("waited"), F.sum("timed")).alias("avg_response"),
         F.count_distinct("event_name").alias("event_types"),
     )
     return window.withColumn("total_users", users.agg(F.count(F.lit(1))).scalar())
