@@ -160,9 +160,22 @@ def recent_use(events: DataFrame, active: DataFrame, as_of: str = AS_OF) -> Data
     return scoring.normalise(decayed, "minmax_one")
 
 
-def _pack_scores(scores: DataFrame, name: str) -> DataFrame:
-    entry = F.struct("item_id", F.col("score").alias("v"))
-    return scores.groupBy("user_id").agg(F.collect_list(entry).alias(name))
+def _pack_scores(scores: DataFrame, name: str, item_tile: Column) -> DataFrame:
+    """Per user and tile of items: the items with a score and the scores, in the same order."""
+    entry = F.collect_list(F.struct("item_id", F.col("score").alias("v"))).alias("e")
+    packed = scores.groupBy("user_id", item_tile.alias("ti")).agg(entry)
+    return packed.select("user_id", "ti", F.col("e")["item_id"].alias(f"{name}_ids"), F.col("e")["v"].alias(f"{name}_values"))
+
+
+def _cold_list(cold: DataFrame, catalogue: DataFrame, weights: dict[str, float], k: int) -> DataFrame:
+    """The same k items for every user without patterns and scores: only the catalogue part differs between items."""
+    rounded = catalogue.select("item_id", F.round("score", 12).alias("score"))
+    lo, hi = rounded.agg(F.min("score"), F.max("score")).first()
+    unit = F.lit(1.0) if lo == hi else (F.col("score") - F.lit(lo)) / F.lit(hi - lo)
+    scored = rounded.select("item_id", (weights["base"] * unit + weights["affinity"]).alias("score"))
+    best = F.array_sort(F.collect_list(F.struct((-F.round("score", 10)).alias("o"), "item_id", "score"))).alias("l")
+    head = scored.orderBy(F.desc(F.round("score", 10)), F.asc("item_id")).limit(k).agg(best)
+    return cold.withColumn("l", head.scalar()).select("user_id", F.explode("l").alias("e")).select("user_id", "e.item_id", "e.score")
 
 
 def temporal_scores(
@@ -179,20 +192,21 @@ def temporal_scores(
 
     Base and time match are min-maxed per user over all active items, so every cell counts.
     Users and items are dealt into tiles; a first pass returns each user's extremes per tile,
-    a second the best k per tile. No (user, item) row beyond those leaves a task.
+    a second the best k per tile. No (user, item) row beyond those leaves a task. Users without any
+    pattern or score share one list and take no part in the tiles.
     """
     n_users, n_items = users.count(), catalogue.count()
     tu, ti = max(1, -(-n_users // TILE)), max(1, -(-n_items // TILE))
     pat = user_patterns.select("user_id", "hour_shares", "weekday_shares", "peak_hour")
-    wide = (
-        users.select("user_id")
-        .join(pat, "user_id", "left")
-        .join(_pack_scores(personal, "base"), "user_id", "left")
-        .join(_pack_scores(recent, "recent"), "user_id", "left")
-    )
+    known = [df.select("user_id") for df in (pat, personal, recent)]
+    warm = users.select("user_id").join(known[0].unionByName(known[1]).unionByName(known[2]), "user_id", "left_semi")
+    cold = users.select("user_id").join(warm.distinct(), "user_id", "left_anti")
     cat = catalogue.join(item_patterns.select("item_id", "hour_shares", "weekday_shares"), "item_id", "left")
     user_tile, item_tile = F.pmod(F.xxhash64("user_id"), F.lit(tu)).cast("int"), F.pmod(F.xxhash64("item_id"), F.lit(ti)).cast("int")
-    side_u = stage(wide, "temporal-users").select("*", user_tile.alias("tu"), F.explode(F.sequence(F.lit(0), F.lit(ti - 1))).alias("ti"))
+    tiled = warm.join(pat, "user_id", "left").select("*", user_tile.alias("tu"), F.explode(F.sequence(F.lit(0), F.lit(ti - 1))).alias("ti"))
+    for scores, name in ((personal, "base"), (recent, "recent")):  # a tile gets the scores of its own items only
+        tiled = tiled.join(_pack_scores(scores, name, item_tile), ["user_id", "ti"], "left")
+    side_u = stage(tiled, "temporal-users")
     side_i = stage(cat, "temporal-items").select("*", item_tile.alias("ti"), F.explode(F.sequence(F.lit(0), F.lit(tu - 1))).alias("tu"))
     user_type, item_type = (df.schema[c].dataType.simpleString() for df, c in ((users, "user_id"), (catalogue, "item_id")))
     hour, weights = moment.hour, TEMPORAL_WEIGHTS
@@ -226,7 +240,7 @@ def temporal_scores(
 
     ready = side_u.join(edges, "user_id")
     found = groups(ready, side_i).applyInPandas(best, f"user_id {user_type}, item_id {item_type}, score double")
-    return scoring.top_k(found, k)
+    return scoring.top_k(found.unionByName(_cold_list(cold, catalogue, weights, k)), k)
 
 
 def _peak_distance(u: pd.DataFrame, hour: int) -> np.ndarray:
@@ -246,15 +260,20 @@ def _stack(column: pd.Series, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _cells(u: pd.DataFrame, i: pd.DataFrame, hour: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Base score, time match and recent use of each user (row) for each item (column)."""
-    place = {item: c for c, item in enumerate(i["item_id"])}
     base = np.tile(i["score"].to_numpy(), (len(u), 1))
     recent = np.zeros_like(base)
-    for cells, column in ((base, "base"), (recent, "recent")):
-        for r, entries in enumerate(u[column]):
-            for e in entries if entries is not None else ():
-                c = place.get(e["item_id"])
-                if c is not None:
-                    cells[r, c] += e["v"]
+    items = i["item_id"].to_numpy()
+    by_id = np.argsort(items, kind="stable")
+    for cells, name in ((base, "base"), (recent, "recent")):
+        have = np.flatnonzero(u[f"{name}_ids"].notna().to_numpy())
+        if not len(have):
+            continue
+        ids = [u[f"{name}_ids"].iloc[r] for r in have]
+        row, column = np.repeat(have, [len(x) for x in ids]), np.concatenate(ids)
+        at = by_id[np.minimum(np.searchsorted(items, column, sorter=by_id), len(items) - 1)]
+        known = items[at] == column
+        values = np.concatenate([u[f"{name}_values"].iloc[r] for r in have])
+        np.add.at(cells, (row[known], at[known]), values[known])
     (uh, have_u), (ih, have_i) = _stack(u["hour_shares"], 24), _stack(i["hour_shares"], 24)
     (ud, _), (idw, _) = _stack(u["weekday_shares"], 7), _stack(i["weekday_shares"], 7)
     aff = 0.7 * (uh @ ih.T + 1) / 2 + 0.3 * (ud @ idw.T + 1) / 2
