@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -105,7 +106,7 @@ def counts(docs: DataFrame) -> DataFrame:
                     seen = pa.array(grams).value_counts()
                     held.setdefault(lang, []).append((seen.field("values").to_numpy(), seen.field("counts").to_numpy()))
                     waiting += len(seen)
-                    if waiting > 3_000_000:  # bounded memory; Spark adds up what is sent in parts
+                    if waiting > 1_500_000:  # bounded memory; Spark adds up what is sent in parts
                         yield from flush()
                         waiting = 0
         yield from flush()
@@ -188,13 +189,12 @@ def load(probabilities: DataFrame, weights: DataFrame, langs: list[str]) -> dict
     model: dict = {lang: {} for lang in langs}
     for kind, rows in (("p", probabilities), ("b", weights)):
         found = rows.filter(F.col("lang").isin(langs)).toArrow()
-        names, n = found.column("lang").to_numpy(), found.column("n").to_numpy()
-        grams, values = found.column("gram").to_numpy(), found.column("value").to_numpy()
         for lang in langs:
             for k in range(ORDER + 1):
-                mine = (names == lang) & (n == k)
-                order = np.argsort(grams[mine])
-                model[lang][kind, k] = (grams[mine][order], values[mine][order])
+                part = found.filter((pc.field("lang") == lang) & (pc.field("n") == k))
+                grams = part.column("gram").to_numpy()
+                order = np.argsort(grams)
+                model[lang][kind, k] = (grams[order], part.column("value").to_numpy()[order])
     return model
 
 
