@@ -27,7 +27,7 @@ from tidemark.llm.common import pick
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-CACHED_WORDS = 200_000  # per task; the cache starts anew when it is full
+CACHED_WORDS = 600_000  # per task, about 200 bytes each; the cache starts anew when it is full
 
 
 class Pieces:
