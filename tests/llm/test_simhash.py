@@ -77,3 +77,13 @@ def test_null_ids_repeated_rows_and_empty_table(spark):
 def test_components_of_a_long_path(spark):
     path = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(None, 3), (9, 9), (100, 101)], "a bigint, b bigint")
     assert {tuple(r) for r in components(path, "a", "b").collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}
+
+
+def test_deduplicated_keeps_one_row_of_each_component(spark):
+    same, other, third = "to be or not to be that is it", "something else entirely now", "and a third text of its own"
+    rows = [(None, same), (7, same), (7, same), (5, same), (5, same), (5, other), (3, other), (None, "no id here"), (None, "no id here"), (9, third), (9, third + "!")]
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id bigint, text string, row int")
+    out = simhash.deduplicated(df)
+    assert out.columns == df.columns
+    got = sorted((tuple(r) for r in out.select("doc_id", "text").collect()), key=str)
+    assert got == sorted([(5, same), (3, other), (None, "no id here"), (9, third), (9, third + "!")], key=str)

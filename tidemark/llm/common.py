@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidemark.functions.stage import stage_dir
 
@@ -79,3 +80,19 @@ def discard(df: DataFrame) -> None:
     for name in df.inputFiles()[:1]:
         folder = spark._jvm.org.apache.hadoop.fs.Path(name).getParent()
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """A written copy of `df` with a number per row, and that column's name; every scan of it has the same numbers."""
+    name = unique_names(df, ["row"])["row"]
+    return written(df.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+
+
+def one_of_each(rows: DataFrame, name: str, named: DataFrame, group: str) -> DataFrame:
+    """The rows of a `numbered` table that come first in their group by doc_id (null last), text_hash and row.
+
+    named: row, doc_id, text_hash and the group of every row. A minimum, so tasks add up a large group in parts.
+    """
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "text_hash", "row"))
+    kept = named.groupBy(group).agg(first.alias("first")).select(F.col("first.row").alias(name))
+    return rows.join(kept, name, "left_semi")

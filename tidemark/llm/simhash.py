@@ -10,6 +10,7 @@ fingerprints are listed, and each of those has a bounded number of neighbours.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from itertools import repeat
 
 import numpy as np
@@ -18,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import per_batch, pick, texts_of, written
+from tidemark.llm.common import numbered, one_of_each, per_batch, pick, texts_of, written
 from tidemark.llm.graph import components
 
 SEED = 42
@@ -48,14 +49,15 @@ def fingerprint(text: bytes, words: int = 3) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, fp) per row; a null text has no words."""
+def fingerprints(docs: DataFrame, words: int = 3, also: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, fp) per row; a null text has no words. The bigint columns `also` are carried along."""
 
     def one(batch):
         found = [fingerprint(t, words) for t in texts_of(batch.column("text"))]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(found, pa.int64())], ["doc_id", "fp"])
+        ids = [batch.column(c).cast(pa.int64()) for c in ("doc_id", *also)]
+        return pa.RecordBatch.from_arrays([*ids, pa.array(found, pa.int64())], ["doc_id", *also, "fp"])
 
-    return per_batch(pick(docs, "doc_id", "text"), one, "doc_id bigint, fp bigint")
+    return per_batch(pick(docs, "doc_id", "text", *also), one, ", ".join(f"{c} bigint" for c in ("doc_id", *also, "fp")))
 
 
 def segment_radii(distance: int) -> list[int]:
@@ -131,6 +133,15 @@ def links(classes: DataFrame, distance: int = 2, hot_segment: int = HOT_SEGMENT)
     return (pairs if met is None else pairs.unionByName(met)).distinct()
 
 
+def _named(found: DataFrame, distance: int) -> DataFrame:
+    # The root fingerprint and the component's smallest doc_id (null without any) for each row of `found`.
+    classes = written(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprint-classes")
+    roots = components(links(classes, distance), "fp", "other").withColumnRenamed("node", "fp")
+    rooted = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    return found.join(rooted.join(least, "root").select("fp", "root", "component_id"), "fp")
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2) -> DataFrame:
     """One row per row of `docs`: doc_id, fp, fingerprint (16 hex digits), component_id (smallest doc_id reachable).
 
@@ -138,22 +149,16 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2) -> DataF
     and repeated ids stay separate rows of one component. A null doc_id is never the
     smallest; component_id is null only if a component has no id at all. Other columns are ignored.
     """
-    found = written(fingerprints(docs, words), "fingerprints")
-    classes = written(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprint-classes")
-    roots = components(links(classes, distance), "fp", "other").withColumnRenamed("node", "fp")
-    rooted = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return found.join(named, "fp").select(
-        "doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    found = _named(written(fingerprints(docs, words), "fingerprints"), distance)
+    return found.select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicated(docs: DataFrame, words: int = 3, distance: int = 2) -> DataFrame:
-    """`docs` with one row of each component: the one whose doc_id is the component's smallest.
+    """`docs` with exactly one row of each component: smallest doc_id (null last), then smallest hash of the text, then first row.
 
-    Of rows that repeat that id the one with the smallest text stays; rows of a component without ids all stay.
+    The grouping goes by row, so of rows that repeat an id each belongs to the component of its own text.
     """
-    groups = near_duplicates(docs, words, distance)
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept.withColumnRenamed("doc_id", "_kept"), docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
+    rows, name = numbered(docs)
+    keys = rows.select(F.col(name).alias("row"), "doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    named = _named(written(fingerprints(keys, words, ["row", "text_hash"]), "fingerprints"), distance)
+    return one_of_each(rows, name, named, "root").select(*docs.columns)
