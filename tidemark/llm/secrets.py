@@ -1,6 +1,7 @@
 """Secret scan with a random forest that removes false positives, in DataFrame functions only.
 
-Candidates are long runs of key-like characters anywhere in a text. Each one is described by its
+Candidates are long runs of key-like characters and dotted web tokens anywhere in a text, and the value after a key
+word such as password, of any length and with any symbols. Each one is described by its
 length, its transitions between character classes, its coverage by dictionary words, whether it
 stands in a path, and the words next to it. A forest trained on labelled findings votes
 on every candidate; it is written out as nested CASE expressions, so scoring is one projection over the
@@ -17,8 +18,18 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import pick, unique_names
 
-# A run of at least 16 key characters that no other letter or digit adjoins.
-CANDIDATE = r"(?<![\p{L}\p{N}+/_\-])[A-Za-z0-9+/_\-]{16,}+={0,2}(?![\p{L}\p{N}])"
+# The words before an assigned secret; a value after one of them is a candidate as a whole.
+KEY_WORDS = "token|secret|passw(?:or)?d|passwd|passphrase|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credential"
+_KEY = r"[A-Za-z0-9+/_\-]"
+_ASSIGNED = rf"(?<!{_KEY}){_KEY}*?(?i:{KEY_WORDS})[\x22\x27]?\s*[:=：＝]{{1,2}}>?\s*"
+# Groups in pairs of what stands before and the value: quoted values to the closing quote of the line, others to a blank
+# without closing punctuation, web tokens with all their parts, and runs of at least 16 key characters that no other one adjoins.
+CANDIDATE = (
+    rf"({_ASSIGNED}\x22)([^\x22\r\n]+)(?=\x22)|({_ASSIGNED}\x27)([^\x27\r\n]+)(?=\x27)"
+    rf"|({_ASSIGNED}[\x22\x27]?)(\S*[^\s,;.\x22\x27)\]}}>])"
+    rf"|(?<!{_KEY})(eyJ[A-Za-z0-9_\-]*+(?:\.[A-Za-z0-9_\-]*+){{1,9}}+)"
+    rf"|(?<!{_KEY})({_KEY}{{16,}}+={{0,2}}(?![A-Za-z0-9]))"
+)
 MARK = "\u0001"
 CONTEXT = 40
 MASK = "<SECRET>"
@@ -37,8 +48,8 @@ DICTIONARY = (
 ).split()
 
 # What secrets with a fixed shape look like, and what stands before an assigned one.
-SHAPES = r"^(AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{30,}$|^xox[abprs]-|^sk-[A-Za-z0-9]{20,}|^sk_live_|^eyJ[A-Za-z0-9_-]{20,}$|^AIza[0-9A-Za-z_-]{35}$"
-NEAR_KEY = r"(?i)(token|secret|passw(or)?d|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credential)[\x22\x27]?\s*[:=]?>?\s*[\x22\x27]?$"
+SHAPES = r"^(AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{30,}$|^xox[abprs]-|^sk-[A-Za-z0-9]{20,}|^sk_live_|^eyJ[A-Za-z0-9_-]{20,}$|^eyJ[A-Za-z0-9_-]+[.][A-Za-z0-9_-]+[.]|^AIza[0-9A-Za-z_-]{35}$"
+NEAR_KEY = rf"(?i)({KEY_WORDS})[\x22\x27]?\s*[:=\uFF1A\uFF1D]{{0,2}}>?\s*[\x22\x27]?$"
 
 # SQL over a candidate's value @v and the text to its left @l and right @r.
 FEATURES = {
@@ -52,7 +63,7 @@ FEATURES = {
     "hex_only": "double(@v rlike '^([0-9a-f]+|[0-9A-F]+)$')",
     "in_path": r"double(@l rlike r'(/|://[^ ]*|www[.][^ ]*)$' or @v rlike r'/.*/')",
     "near_key": f"double(@l rlike r'{NEAR_KEY}')",
-    "assigned": r"double(@l rlike r'[:=]\s*[\x22\x27]?$')",
+    "assigned": r"double(@l rlike r'[:=：＝]>?\s*[\x22\x27]?$')",
     "quoted": r"double(@l rlike r'[\x22\x27]$' and @r rlike r'^[\x22\x27]')",
 }
 AT = {name: f"f{k}" for k, name in enumerate(FEATURES)}
@@ -65,7 +76,7 @@ def described(docs: DataFrame, parts: str, out: str) -> DataFrame:
     the text's. out: per candidate its place i, value v and the features f0, f1, ...
     """
     plain = F.translate(docs["text"], MARK, " ")
-    split = docs.withColumn(parts, F.split(F.regexp_replace(plain, CANDIDATE, f"{MARK}$0{MARK}"), MARK))
+    split = docs.withColumn(parts, F.split(F.regexp_replace(plain, CANDIDATE, f"$1$3$5{MARK}$2$4$6$7$8{MARK}"), MARK))
     around = (
         f"transform(filter(sequence(1, size({parts})), i -> i % 2 = 0), i -> named_struct('i', i, 'v', {parts}[i - 1], "
         f"'l', right({parts}[i - 2], {CONTEXT}), 'r', left({parts}[i], {CONTEXT})))"
