@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, langid, mixing, perplexity, pieces, secrets, simhash, substrings, vectors, warc
+from tidemark.llm import chat, langid, mixing, packing, periods, perplexity, pieces, secrets, simhash, substrings, vectors, warc, whitening
 from tidemark.llm.common import table
 
 QUERIES = {}
@@ -172,3 +172,49 @@ FROM e GROUP BY conv_id
 @register
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.without_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
+@register
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table_of, found = whitening.whitened(table(spark, sf_dir, "embeddings"))
+    rows = whitening.long_form(table_of, found)
+    return rows.select(*[F.expr("try_cast(deviation as bigint)").alias(c) if c == "deviation" else F.col(c) for c in rows.columns])
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """doc_id and the words of the text, joined by one blank; every document whose id hashes to a multiple of ten is made periodic."""
+    words = "regexp_extract_all(text, '[^\\\\x20\\\\x09-\\\\x0D]+', 0)"
+    at = "cast(if(i < p.a, i, p.a + (i - p.a) % p.p) as int)"
+    made = f"""
+      transform(transform(transform(array(named_struct('w', {words}, 'g', crc32(encode(cast(doc_id as string), 'UTF-8')) div 10)),
+        s -> named_struct('w', s.w, 'g', s.g, 'n', size(s.w), 'a', s.g % size(s.w))),
+        s -> named_struct('w', s.w, 'n', s.n, 'a', s.a, 'p', 1 + (s.n - s.a) div (3 + s.g % 8))),
+        p -> array_join(transform(sequence(0, p.n - 1), i -> p.w[{at}]), ' '))[0]"""
+    chosen = F.expr(f"crc32(encode(cast(doc_id as string), 'UTF-8')) % 10 = 0 and text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
+    return docs.select("doc_id", F.when(chosen, F.expr(made)).otherwise(F.col("text")).alias("text"))
+
+
+@register
+def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.periodic_runs(planted(table(spark, sf_dir, "documents")), digest=True)
+    order = "case when x.length * y.period > y.length * x.period then -1 when x.length * y.period < y.length * x.period then 1"
+    best = F.expr(f"array_sort(runs, (x, y) -> {order} when struct(x.start, x.period) < struct(y.start, y.period) then -1 else 1 end)")
+    best = F.when(F.size("runs") > 0, best[0])
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    found = found.select("doc_id", "runs", "collapsed", best.alias("best"))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.col("collapsed").alias("collapsed_sha256"),
+    )
+
+
+@register
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    return packing.packed(table(spark, sf_dir, "documents"), ids=False).select(*names)
