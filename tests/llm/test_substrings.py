@@ -49,6 +49,18 @@ def test_repeated_rows_and_empty_table(spark):
     assert substrings.without_repeats(df.limit(0)).count() == 0
 
 
+def test_a_third_of_the_ids_null(spark, rows):
+    texts = sorted({t for _, t in rows if t}, key=len)
+    df = spark.createDataFrame([(None if i % 3 == 0 else i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    got = sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["kept_sha256"]) for r in substrings.without_repeats(df, digest=True, bucket_bytes=2_000).collect())
+    order = [(None, substrings.text_hash(t.encode()), t) for i, t in enumerate(texts) if i % 3 == 0]
+    given = [t for _, _, t in sorted(order, key=lambda x: x[1])]
+    # The null ids come first, in the order of their text hashes.
+    numbers = {k - len(given): t for k, t in enumerate(given)} | {i: t for i, t in enumerate(texts) if i % 3}
+    expected = brute(sorted(numbers.items()))
+    assert got == sorted((i >= 0, max(i, 0), expected[i][3]) for i in numbers)
+
+
 def test_long_text_in_parts(spark, monkeypatch):
     monkeypatch.setattr(substrings, "BLOCK", 700)
     rng = random.Random(1)

@@ -9,7 +9,7 @@
 4. Runs of the two orders with long enough common extensions are the sets of equal windows; all but the
    first window of each set are removed, and go back to their texts.
 
-Texts stay in buckets of a few megabytes by document, anchors in buckets by hash; the number of
+Texts stay in buckets of a few megabytes by document (id and text, so that many null ids are many buckets), anchors in buckets by hash; the number of
 buckets follows the input. Of equal surroundings in one bucket only the first travels on. Anchors shared by very many
 texts are cut into narrower ranges of offsets with keys of their own, so that no group of windows meets in one task as a whole.
 """
@@ -21,10 +21,11 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import pick, texts_of, written
+from tidemark.llm.common import per_batch, pick, texts_of, written
 
 LENGTH = 100
 ANCHOR = 32  # bytes; a power of two
@@ -118,7 +119,8 @@ def _messages(kind: int, bucket: np.ndarray, cols: dict[str, np.ndarray], segs:
         values = cols[c][order] if c in cols else np.zeros(len(order))
         lists.append(pa.ListArray.from_arrays(offsets, pa.array(values.astype(KIND[t]))))
     ends = [*cuts[1:].tolist(), len(bucket)]
-    joined = [None if segs is None else b"".join(segs[i] for i in order[lo:hi]) for lo, hi in zip(cuts.tolist(), ends)]
+    press = zstandard.ZstdCompressor(level=1)
+    joined = [None if segs is None else press.compress(b"".join(segs[i] for i in order[lo:hi])) for lo, hi in zip(cuts.tolist(), ends)]
     names = ["bucket", "kind", *COLUMNS, "seg"]
     return pa.RecordBatch.from_arrays(
         [pa.array(bucket[cuts].astype(np.int32)), pa.array(np.full(len(cuts), kind, np.int32)), *lists, pa.array(joined, pa.binary())], names
@@ -128,7 +130,7 @@ def _messages(kind: int, bucket: np.ndarray, cols: dict[str, np.ndarray], segs:
 def _cells(table: pa.Table, kind: int) -> dict[str, np.ndarray]:
     mine = table.filter(pa.array(table.column("kind").to_numpy() == kind))
     return {c: mine.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(KIND[t]) for c, t in COLUMNS.items()} | {
-        "seg": b"".join(s for s in mine.column("seg").to_pylist() if s)
+        "seg": b"".join(zstandard.decompress(s) for s in mine.column("seg").to_pylist() if s)
     }
 
 
@@ -136,6 +138,24 @@ def _pick(cols: dict[str, np.ndarray], which) -> dict[str, np.ndarray]:
     return {c: cols[c][which] for c in COLUMNS}
 
 
+def _pressed(docs: DataFrame) -> DataFrame:
+    """`docs` (bucket, doc_id, text) with compressed texts, which cross the network twice."""
+
+    def one(batch):
+        press = zstandard.ZstdCompressor(level=1)
+        texts = pa.array([press.compress(t) for t in texts_of(batch.column("text"))], pa.binary())
+        return pa.RecordBatch.from_arrays([batch.column("bucket"), batch.column("doc_id").cast(pa.int64()), texts], ["bucket", "doc_id", "text"])
+
+    return per_batch(docs.select("bucket", "doc_id", "text"), one, "bucket int, doc_id bigint, text binary")
+
+
+def _unpressed(docs: pa.Table):
+    """(doc_id, text) of each row, one text at a time."""
+    opener = zstandard.ZstdDecompressor()
+    for i, t in zip(docs.column("doc_id").to_pylist(), docs.column("text")):
+        yield i, opener.decompress(t.as_py())
+
+
 def _all_anchors(docs: DataFrame, buckets: int) -> DataFrame:
     def run(batches):
         held: list[dict[str, np.ndarray]] = []
@@ -199,7 +219,7 @@ def _surroundings(hot: np.ndarray, buckets: int):
         """The text around each repeated anchor of one document bucket, keyed by the anchor; equal ones are settled here."""
         cols = _cells(marks, KNOWN)
         texts = {}
-        for i, t in zip(docs.column("doc_id").to_pylist(), texts_of(docs.column("text").combine_chunks())):
+        for i, t in _unpressed(docs):
             if len(t) >= LENGTH:
                 texts[NO_ID if i is None else i, text_hash(t)] = t
         place = ("doc", "th", "q", "ac")
@@ -396,7 +416,7 @@ def _result(docs: pa.Table, marks: pa.Table) -> pa.Table:
         ranges[int(cols["doc"][begin]), int(cols["th"][begin])] = (cols["q"][begin:end], cols["ac"][begin:end])
         begin = end
     rows = []
-    for i, t in zip(docs.column("doc_id").to_pylist(), texts_of(docs.column("text").combine_chunks())):
+    for i, t in _unpressed(docs):
         found = ranges.get((NO_ID if i is None else i, text_hash(t)))
         kept, spans = t, 0
         if found is not None:
@@ -431,16 +451,17 @@ def without_repeats(docs: DataFrame, digest: bool = False, bucket_bytes: int = B
     rows = pick(docs, "doc_id", "text")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(total // bucket_bytes) + 1
-    placed = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
+    placed = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(buckets)).cast("int"))
 
     met = _all_anchors(placed, buckets).groupBy("bucket").applyInArrow(_repeated, SCHEMA)
     repeated = written(met, "repeated-anchors")
     tops = repeated.filter(F.col("kind") == HOTTEST).select(F.explode(F.arrays_zip("h", "n")).alias("x")).select("x.*")
     hot = np.array(sorted(r[0] for r in tops.orderBy(F.desc("n"), "h").limit(HOT_SHARE).collect()), np.int64)
     marks = repeated.filter(F.col("kind") == KNOWN)
-    around = placed.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(_surroundings(hot, buckets), SCHEMA)
+    pressed = _pressed(placed)
+    around = pressed.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(_surroundings(hot, buckets), SCHEMA)
     removed = written(around.groupBy("bucket").applyInArrow(_settle, SCHEMA), "removed-windows")
-    final = placed.groupBy("bucket").cogroup(removed.groupBy("bucket"))
+    final = pressed.groupBy("bucket").cogroup(removed.groupBy("bucket"))
     shape = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, "
     if digest:
         return final.applyInArrow(_digest(_result), shape + "kept_sha256 string")
