@@ -20,9 +20,17 @@ def test_ids_equal_the_tokenizer(sf, spark):
     texts = ODD + ["".join(rng.choice(ODD + [" ", "\n", "word", " word"]) for _ in range(rng.randint(1, 30))) for _ in range(500)]
     texts += [r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
     expected = [np.array(model.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
-    assert packing.Encoder(packing.tokenizer_path()).encode(texts) == expected
+    found = packing.Encoder(packing.tokenizer_path()).encode(texts)
+    assert list(found) == expected
     small = packing.Encoder(packing.tokenizer_path(), cached=50)  # the cache starts anew all the time
-    assert [small.encode([t])[0] for t in texts] == expected
+    assert list(small.encode(texts)) == expected and [next(small.encode([t])) for t in texts[:400]] == expected[:400]
+
+
+def test_long_texts_are_cut_where_the_tokenizer_cuts(monkeypatch):
+    monkeypatch.setattr(packing, "SEGMENT", 50)
+    encoder = packing.Encoder(packing.tokenizer_path())
+    for text in ("".join(ODD), " ".join(ODD), "日本語" * 100, "x" * 500 + "  y" * 100, " \n" * 200 + " end"):
+        assert np.frombuffer(next(encoder.encode([text])), "<u4").tolist() == encoder.model.encode(text, add_special_tokens=False).ids
 
 
 def test_first_fit_equals_the_plain_search():

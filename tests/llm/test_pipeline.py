@@ -11,7 +11,8 @@ sys.path.insert(0, os.path.join(ROOT, "tools"))
 import __spark_entry__ as entry_module
 import corpus_pipeline
 from check_queries import TABLES, compare
-from tidemark.llm import catalog, langid, pieces, simhash
+from util import least_reachable
+from tidemark.llm import catalog, langid, nearcopies, pieces
 
 QUERIES, ORACLES = entry_module.queries(), entry_module.oracle_sql()
 
@@ -42,7 +43,9 @@ def test_stages_one_by_one(spark, sf):
     assert {r["doc_id"] for r in one.select("doc_id").collect()} == {i for i, (lang, s) in langs.items() if lang != "und" and s >= 0.01}
     assert one.columns == docs.columns and one.filter("doc_id < 0").count() == 0
     two = steps["near_copies"](spark, one, sf).cache()
-    groups = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(one).collect()}
+    sets = {r["doc_id"]: set(nearcopies.shingle_set((r["text"] or "").encode()).tolist()) for r in one.select("doc_id", "text").collect()}
+    alike = lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    groups = least_reachable(sorted(sets), alike)
     assert {r["doc_id"] for r in two.select("doc_id").collect()} == set(groups.values()) and groups[100_003] == groups[3]
     three = steps["secret_scan"](spark, two, sf).cache()
     assert three.count() == two.count() and three.columns == docs.columns

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -41,6 +42,28 @@ def per_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
     return df.mapInArrow(run, schema)
 
 
+def in_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = 1_000) -> DataFrame:
+    """mapInArrow with a function of at most `rows` rows at a time; what it held goes back to the system when the task ends."""
+
+    def run(batches):
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, rows):
+                    yield fn(batch.slice(at, rows))
+        finally:
+            release_memory()
+
+    return df.mapInArrow(run, schema)
+
+
+def release_memory() -> None:
+    """Gives freed memory of this worker back, since workers stay alive beside later steps; does nothing where the C library has no way."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def texts_of(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null counts as empty."""
     return [b"" if v is None else v for v in column.cast(pa.binary()).to_pylist()]

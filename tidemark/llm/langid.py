@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import per_batch, pick
+from tidemark.llm.common import in_slices, per_batch, pick
 
 # The documented bounds of the learning sample.
 SAMPLE_ROWS = 64  # labelled rows per language, taken in hash order
@@ -220,10 +220,8 @@ def accepted(docs: DataFrame, min_score: float = 0.01) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(fit(learnable(docs)))
     schema = docs.schema
 
-    def run(batches):
-        for batch in batches:
-            langs, scores = identify(model.value, batch.column("text").to_pylist())
-            keep = [lang != "und" and score >= min_score for lang, score in zip(langs, scores)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+    def one(batch):
+        langs, scores = identify(model.value, batch.column("text").to_pylist())
+        return batch.filter(pa.array([lang != "und" and score >= min_score for lang, score in zip(langs, scores)], pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return in_slices(docs, one, schema)

@@ -7,7 +7,9 @@ first sequence with room, which a tournament tree over the room that sequences h
 
 from __future__ import annotations
 
+import re
 import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +21,15 @@ from tidemark.llm.common import per_batch, pick, written
 SEQUENCE = 2048
 END = 1  # id after each document
 GROUP_PIECES = 16_384
-CACHED_WORDS = 300_000  # per task; the cache starts anew when it is full
+CACHED_WORDS = 600_000  # per task, about 200 bytes each; the cache starts anew when it is full
+SEGMENT = 1_000_000  # characters whose parts are held at a time
 # After a blank, these characters are never white space for any table of characters.
 SAFE = frozenset(map(chr, (*range(0x21, 0x7F), *range(0xC0, 0x530))))
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")
 MODEL = "byte_bpe_50k.json"
+# How byte-level vocabularies spell the 256 bytes: visible ones as they are, the others by the code points from 256 on.
+_VISIBLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+SPELT = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_VISIBLE)))}
 
 
 def tokenizer_path(name: str = MODEL) -> str:
@@ -43,48 +50,117 @@ class Encoder:
 
         self.model = Tokenizer.from_file(model_file)
         self.model.encode_special_tokens = True  # names of special tokens in a text are text
-        self.known: dict[str, bytes] = {}
+        self.bpe = self.model.model
+        self.known: dict[str, bytes] = {}  # a part without its blank
+        self.first: dict[str, bytes] = {}  # a part at the start of a text, which has none
         self.cached = cached
+        self.ends = {c: self._ids([c])[0].tobytes() for c in ",.;:!?"}  # one of these after letters is a unit of its own
+        blank = self._ids([" "])[0][0]
+        self.mark = self.model.id_to_token(blank)[0]  # how the vocabulary writes a blank
+        self.opens = np.zeros(self.model.get_vocab_size(), bool)
+        for token, i in self.model.get_vocab().items():
+            self.opens[i] = token.startswith(self.mark)
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a blank and letters alone, one unit of the tokenizer, straight from its model."""
+        found = self.known.get(word)
+        if found is None:
+            spelt = word if word.isascii() else word.encode().decode("latin-1").translate(SPELT)
+            found = self.known[word] = b"".join([t.id.to_bytes(4, "little") for t in self.bpe.tokenize(self.mark + spelt)])
+        return found
 
     def _learn(self, parts: list[str]) -> None:
-        if len(self.known) + len(parts) > self.cached:
-            self.known = {}
-        for at in range(0, len(parts), 10_000):
-            some = parts[at : at + 10_000]
-            for part, made in zip(some, self.model.encode_batch_fast(some, add_special_tokens=False)):
-                self.known[part] = np.array(made.ids, "<u4").tobytes()
+        rest = []
+        for part in parts:
+            if LETTERS.fullmatch(part):
+                self._word(part)
+            elif part[-1:] in self.ends and LETTERS.fullmatch(part, 0, len(part) - 1):
+                self.known[part] = self._word(part[:-1]) + self.ends[part[-1]]
+            else:
+                rest.append(part)
+        # Parts without further blanks are learnt side by side: each begins where an id with a blank does.
+        plain = [p for p in rest if " " not in p]
+        rest = [p for p in rest if " " in p]
+        for at in range(0, len(plain), 1_000):
+            some = plain[at : at + 1_000]
+            ids = self._ids([" " + " ".join(some)])[0]
+            starts = np.flatnonzero(self.opens[ids])
+            if len(starts) != len(some):
+                rest += some
+                continue
+            whole, ends = ids.tobytes(), (4 * np.append(starts[1:], len(ids))).tolist()
+            self.known.update((p, whole[i:j]) for p, i, j in zip(some, (4 * starts).tolist(), ends))
+        self.known.update(zip(rest, (i.tobytes() for i in self._ids([" " + p for p in rest]))))
 
     def parts(self, text: str) -> list[str]:
-        out: list[str] = []
-        for i, word in enumerate(text.split(" ")):
-            if i == 0:
+        """The first part, and the others without their blank."""
+        words = text.split(" ")
+        if all(w and w[0] in SAFE for w in set(words[1:]).difference(self.known)):
+            return words
+        out = words[:1]
+        for word in words[1:]:
+            if word and word[0] in SAFE:
                 out.append(word)
-            elif word and word[0] in SAFE:
-                out.append(" " + word)
             else:
                 out[-1] += " " + word
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit numbers."""
+    def segments(self, text: str) -> Iterator[str]:
+        """The text in stretches of about SEGMENT characters, cut where the tokenizer cuts."""
+        at = 0
+        while len(text) - at > SEGMENT:
+            cut = text.find(" ", at + SEGMENT)
+            while cut >= 0 and not (cut + 1 < len(text) and text[cut + 1] in SAFE):
+                cut = text.find(" ", cut + 1)
+            if cut < 0:
+                break
+            yield text[at:cut]
+            at = cut
+        yield text[at:]
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.parts(t) for t in texts]
-        new = {p for parts in cut for p in parts if p not in self.known}
-        if new:
-            if len(self.known) + len(new) > self.cached:
-                new = {p for parts in cut for p in parts}
-            self._learn(list(new))
-        known = self.known
-        return [b"".join([known[p] for p in parts]) for parts in cut]
+        new = set()
+        for parts in cut:
+            new.update(parts[1:])
+        fresh = new.difference(self.known)
+        if len(self.known) + len(fresh) > self.cached:
+            self.known, fresh = {}, new
+        self._learn(list(fresh))
+        starts = {parts[0] for parts in cut}.difference(self.first)
+        if len(self.first) + len(starts) > self.cached // 10:
+            self.first, starts = {}, {parts[0] for parts in cut}
+        self.first.update(zip(starts, (i.tobytes() for i in self._ids(list(starts)))))
+        known = self.known.__getitem__
+        return [self.first[parts[0]] + b"".join(map(known, parts[1:])) for parts in cut]
+
+    def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """The ids of each text as little-endian 32-bit numbers; holds the parts of about SEGMENT characters at a time."""
+        held: list[str] = []
+        size = 0
+        for text in texts:
+            if size + len(text) > SEGMENT:
+                yield from self._encode(held)
+                held, size = [], 0
+            if len(text) > SEGMENT:
+                yield b"".join(self._encode([s])[0] for s in self.segments(text))
+                continue
+            held.append(text)
+            size += len(text)
+        yield from self._encode(held)
 
 
 _encoders: dict[str, Encoder] = {}
 
 
-def _pieces(model_file: str, length: int):
+def _pieces(model_file: str, length: int, with_ids: bool):
     def run(batch):
         encoder = _encoders.get(model_file) or _encoders.setdefault(model_file, Encoder(model_file))
-        rows = []
-        texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
+        rows, size = [], 0
+        texts = (t.as_py() or "" for t in batch.column("text"))
         end = np.array([END], "<u4").tobytes()
         for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts)):
             ids += end
@@ -92,20 +168,25 @@ def _pieces(model_file: str, length: int):
             for start in range(0, total, length):
                 part = ids[4 * start : 4 * (start + length)]
                 rows.append((doc, start, len(part) // 4, zlib.crc32(part), total, part))
-            if len(rows) >= 10_000:
-                yield _batch(rows)
-                rows = []
+            size += total
+            if size >= SEGMENT:
+                yield _batch(rows, with_ids)
+                rows, size = [], 0
         if rows:
-            yield _batch(rows)
+            yield _batch(rows, with_ids)
 
     return run
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
+def _batch(rows: list[tuple], with_ids: bool) -> pa.RecordBatch:
     *plain, ids = zip(*rows)
-    offsets = np.cumsum([0, *map(len, ids)]) // 4
-    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32)))
-    return pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in plain], lists], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
+    cols = [pa.array(c, pa.int64()) for c in plain]
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    if with_ids:
+        offsets = np.cumsum([0, *map(len, ids)]) // 4
+        cols.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))))
+        names.append("ids")
+    return pa.RecordBatch.from_arrays(cols, names)
 
 
 def first_fit(lengths: list[int], room: int) -> tuple[list[int], list[int]]:
@@ -168,8 +249,8 @@ def packed(docs: DataFrame, model_file: str | None = None, length: int = SEQUENC
     and ids, and null ids, stay documents of their own. No rows give none. Other columns are ignored.
     """
     path = model_file or tokenizer_path()
-    shape = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, ids array<int>"
-    pieces = per_batch(pick(docs, "doc_id", "text"), _pieces(path, length), shape)
+    shape = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + (", ids array<int>" if ids else "")
+    pieces = per_batch(pick(docs, "doc_id", "text"), _pieces(path, length, ids), shape)
     pieces = written(pieces.withColumn("piece", F.monotonically_increasing_id()), "pieces")
     found = placed(pieces.drop("ids"), length, group_pieces)
     return (found.join(pieces.select("piece", "ids"), "piece") if ids else found).drop("piece")
