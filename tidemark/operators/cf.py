@@ -6,8 +6,8 @@ user has at most one row per catalogue item.
 Pairwise products never leave a task as raw pairs:
 * item x item sums over users: `item_products` adds up bounded runs of users as small
   matrix products inside each task and emits one partial sum per item pair and run.
-* user x user similarities: `user_neighbours` compares tiles of users and emits only the
-  best k of each user per tile.
+* user x user similarities: `user_neighbours` compares cells of users, visits other cells only
+  where a bound allows it, and emits only the best k of each user per cell.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import skew
 from tidemark.functions import timefn as tf
 from tidemark.functions.text import literal_map
+from tidemark.operators import neighbours
 from tidemark.session import AS_OF
 
 # Event weights of the weighted matrix; every other event counts 1.
@@ -282,18 +283,14 @@ def user_neighbours(
 ) -> DataFrame:
     """(user_id, other_id, sim, common, rank) with the k most similar users of every user.
 
-    Users are dealt into tiles of about USER_TILE; each pair of tiles is one task that
-    multiplies two small matrices and returns the best k + 1 of each row, so the number of
-    rows grows with users x tiles x k and never with user pairs. The cut comes first and
-    the filters (sim > 0, enough common items) after it.
+    Users are compared within cells around pivots and visit other cells only where a bound allows a better
+    neighbour (`operators.neighbours`); the result is exact. Correlations have no such bound, so for `pearson` each tile of about
+    USER_TILE users meets every other one. The cut comes first and the filters (sim > 0, enough common items) after it.
     """
-    key = weights.schema["user_id"].dataType.simpleString()
-
-    def best(ids_a, ids_b, sim, common, own: bool) -> list[pd.DataFrame]:
-        frames = [_best(ids_a, ids_b, sim, common, k + 1, own)]
-        return frames if own else [*frames, _best(ids_b, ids_a, sim.T, common.T, k + 1)]
-
-    found = _compare_tiles(weights, metric, best, f"user_id {key}, other_id {key}, sim double, common double")
+    if metric in neighbours.METRICS:
+        found = neighbours.candidates(weights, k, metric, USER_TILE)
+    else:
+        found = _all_tiles(weights, k, metric)
     # The user itself counts towards the cut.
     order = [F.desc(F.col("user_id") == F.col("other_id")), F.desc("sim"), F.asc("other_id")]
     ranked = skew.rank_rows(found, ["user_id"], order, k if keep_self else k + 1)
@@ -303,6 +300,16 @@ def user_neighbours(
     return ranked.filter(good).withColumn("common", F.col("common").cast("long"))
 
 
+def _all_tiles(weights: DataFrame, k: int, metric: str) -> DataFrame:
+    key = weights.schema["user_id"].dataType.simpleString()
+
+    def best(ids_a, ids_b, sim, common, own: bool) -> list[pd.DataFrame]:
+        frames = [_best(ids_a, ids_b, sim, common, k + 1, own)]
+        return frames if own else [*frames, _best(ids_b, ids_a, sim.T, common.T, k + 1)]
+
+    return _compare_tiles(weights, metric, best, f"user_id {key}, other_id {key}, sim double, common double")
+
+
 def user_similarity_summary(weights: DataFrame, metric: str = "cosine") -> DataFrame:
     """Mean of the positive similarities of different users, and the largest; one row per tile pair is added up."""
 
