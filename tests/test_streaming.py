@@ -95,3 +95,37 @@ def test_file_sink_resumes(spark, folder, tmp_path):
     for _ in range(2):
         jobs.run_to_parquet(jobs.unique_events(stream(spark, folder), "30 days"), out, ckpt)
     assert spark.read.parquet(out).count() == spark.read.parquet(folder[0]).count()
+
+
+@pytest.mark.parametrize("width,slide", [("5 minutes", "5 minutes"), ("1 hour", "5 minutes"), ("24 hours", "1 hour")])
+def test_panes_merge_to_exact_counts(spark, folder, tmp_path, width, slide):
+    jobs.run_to_parquet(jobs.active_panes(stream(spark, folder)), str(tmp_path / "out"), str(tmp_path / "c"))
+    panes = spark.read.parquet(str(tmp_path / "out"))
+    got = rows(jobs.active_over(panes.filter("end < '2029-01-01'"), width, slide))
+    w = F.window("event_time", width, slide)
+    want = spark.read.parquet(folder[0]).filter("user_id >= 0").groupBy(w).agg(F.count_distinct("user_id").alias("n"))
+    assert got == rows(want.select("window.start", "window.end", "n"))
+
+
+def test_ingest_twice_adds_nothing(spark, folder, tmp_path):
+    schema = folder[1]
+    table = jobs.IngestTable(spark, str(tmp_path / "table"), schema, buckets=8)
+    jobs.ingest(stream(spark, folder), table, str(tmp_path / "c"))
+    whole = rows(table.read().drop("bucket").select("insert_id"))
+    assert whole == rows(spark.read.parquet(folder[0]).select("insert_id").filter("insert_id is not null").distinct())
+    batches = table.batches()
+    assert len(batches) > 1
+    jobs.ingest(stream(spark, folder), table, str(tmp_path / "c2"))  # lost progress: the same batches again
+    assert table.batches() == batches and rows(table.read().select("insert_id")) == whole
+    late = spark.read.parquet(folder[0]).limit(50)
+    assert table.add(late, "late") and rows(table.read().select("insert_id")) == whole
+
+
+def test_half_a_batch_is_never_seen(spark, folder, tmp_path):
+    rows_now = spark.read.parquet(folder[0]).filter("insert_id is not null")
+    table = jobs.IngestTable(spark, str(tmp_path / "table"), folder[1], buckets=4)
+    # What a writer that died has left: data without a log entry.
+    rows_now.limit(30).withColumn("bucket", F.lit(0)).write.partitionBy("bucket").parquet(f"{tmp_path}/table/data/batch=a")
+    assert table.read().count() == 0
+    assert table.add(rows_now, "a") and not table.add(rows_now, "a")
+    assert rows(table.read().select("insert_id")) == rows(rows_now.select("insert_id").distinct())

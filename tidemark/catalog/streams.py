@@ -74,3 +74,36 @@ def _(spark, d):
 @query("stream_refresh_signals")
 def _(spark, d):
     return appended(jobs.refresh_signals(events(spark, d)), spark, "refresh").withColumn("at", stamp("at"))
+
+
+CLOSED = "event_time < (SELECT time_bucket(INTERVAL 5 MINUTES, max(event_time) - INTERVAL 10 MINUTES) FROM interactions)"
+
+
+def _active(name, width, slide, steps):
+    # Only panes that the watermark has closed are in; every event belongs to `steps` windows.
+    minutes = {"5 minutes": 5, "1 hour": 60}[slide]
+
+    @query(f"stream_active_users_{name}", f"""WITH ev AS (SELECT user_id, time_bucket(INTERVAL {minutes} MINUTES, event_time) AS b
+  FROM interactions WHERE {CLOSED} AND user_id IS NOT NULL),
+w AS (SELECT user_id, b - CAST(s AS INT) * INTERVAL {minutes} MINUTES AS start FROM ev, range({steps}) AS k(s))
+SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, strftime(start + INTERVAL {steps * minutes} MINUTES, '%Y-%m-%d %H:%M:%S') AS "end",
+  count(DISTINCT user_id) AS active_users FROM w GROUP BY start""")
+    def run(spark, d):
+        out = jobs.active_over(appended(jobs.active_panes(events(spark, d)), spark, "panes"), width, slide)
+        return out.withColumns({"start": stamp("start"), "end": stamp("end")})
+
+
+_active("5m", "5 minutes", "5 minutes", 1)
+_active("1h", "1 hour", "5 minutes", 12)
+_active("24h", "24 hours", "1 hour", 24)
+
+
+@query("stream_ingest", "SELECT id, insert_id, user_id FROM interactions WHERE insert_id IS NOT NULL")
+def _(spark, d):
+    rows = events(spark, d).select("id", "insert_id", "user_id", "event_time")
+    twice = rows.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
+    path = folder(spark, "ingest")
+    table = jobs.IngestTable(spark, f"{path}/table", rows.schema)
+    jobs.ingest(twice, table, f"{path}/progress")
+    jobs.ingest(rows, table, f"{path}/again", source="again")  # all of it comes once more, as late as can be
+    return table.read().select("id", "insert_id", "user_id")
