@@ -73,3 +73,18 @@ def test_draws_and_empty_table(spark, docs):
     assert [r["taken"] for r in mixing.mixture_sizes(none).collect()] == [0]
     with pytest.raises(ValueError):
         mixing.targets(docs, share=3)
+
+
+def test_rows_without_an_id_meet_their_targets(spark):
+    """All ids null, a third of the rows one and the same row: each source still comes within 1 % of its target."""
+    rows = [(None, "w " * (1 + i % 37), f"s{i % 5}", i) for i in range(6000)] + [(None, "one and the same", "s1", 0)] * 3000
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, _p int")
+    out = mixing.mixture_sizes(docs)
+    taken = out.groupBy("source_size", "target").agg(F.sum("taken").alias("n")).collect()
+    assert len(taken) == 5 and all(abs(r["n"] / r["target"] - 1) < 0.01 for r in taken)
+    order = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert order(out) == order(mixing.mixture_sizes(docs.repartition(7)))
+    emitted = mixing.mixed(docs)
+    assert emitted.columns == docs.columns and not python_nodes(emitted)
+    words = emitted.agg(F.sum(mixing.words("text"))).first()[0]
+    assert words == sum(r["n"] for r in taken)

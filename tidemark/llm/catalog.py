@@ -56,12 +56,16 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture_sizes(table(spark, sf_dir, "documents"))
 
 
-# The level is found in closed form; draws are 8 hex digits each of two SHA-256 digests of the id.
+# The level is found in closed form; draws are 8 hex digits each of two SHA-256 digests of the id, or of digest and place of the text.
 ORACLES["op7_mixing"] = """
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-         sha256('0:' || coalesce(doc_id::VARCHAR, '')) || sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h
-  FROM documents
+         sha256('0:' || key) || sha256('1:' || key) AS h
+  FROM (
+    SELECT *, coalesce(doc_id::VARCHAR, sha256(coalesce(text, '')) || '#'
+           || (row_number() OVER (PARTITION BY doc_id IS NULL ORDER BY sha256(coalesce(text, '')), source NULLS LAST) - 1)) AS key
+    FROM documents
+  )
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
 ), w AS (

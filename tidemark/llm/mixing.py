@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.stage import maybe_broadcast
-from tidemark.llm.common import WORD, unique_names, written
+from tidemark.llm.common import WORD, written
 
 WEIGHTS = (3, 1, 2)  # of the sources in order, repeating
 SHARE = 1.5  # of all words together
@@ -51,6 +51,21 @@ def _running(df: DataFrame, order: Sequence[Column], value: str, out: str) -> Da
     return summed.select(*names, (F.col("_ahead") + F.col("_inside")).alias(out))
 
 
+def _digest(text: Column) -> Column:
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
+
+
+def _null_keys(rows: DataFrame) -> DataFrame:
+    """Adds `_key` to rows without an id: the digest `_text` and the row's place by (digest, source).
+
+    Equal rows take different places, so they draw apart; which of them takes which place changes no result.
+    The last sort column splits a text that very many rows share over the tasks.
+    """
+    order = [F.col("_text"), F.col("source").asc_nulls_last(), F.monotonically_increasing_id()]
+    placed = _running(rows.withColumn("_one", F.lit(1)), order, "_one", "_place")
+    return placed.withColumn("_key", F.concat("_text", F.lit("#"), F.col("_place").cast("string"))).drop("_one", "_place")
+
+
 def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """(source, source_size, target) from (source, source_size), one row per source.
 
@@ -92,12 +107,23 @@ def copies(drawn: Column) -> Column:
 
 
 def plan(docs: DataFrame, **kw) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, source, size) per row, and per source: source_size, target, _rate and _seed; both written."""
-    narrow = written(docs.select("doc_id", "source", words(docs["text"]).alias("size")), "mix-sizes")
-    aims = targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), **kw)
+    """(doc_id, source, size, _key) per row, and per source: source_size, target, _rate and _seed; both written.
+
+    `_key` is what a row draws by: its id, or digest and place of its text where the id is null.
+    """
+    no_id = docs["doc_id"].isNull()
+    columns = ["doc_id", "source", words(docs["text"]).alias("size"), F.when(no_id, _digest(docs["text"])).alias("_text")]
+    narrow = written(docs.select(*columns), "mix-sizes")
+    sums = narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.count_if(F.col("doc_id").isNull()).alias("_nulls"))
+    sums = written(sums, "mix-sources")
+    aims = targets(sums.select("source", "source_size"), **kw)
+    keyed = narrow.filter("doc_id is not null").withColumn("_key", F.col("doc_id").cast("string"))
+    if sums.filter("_nulls > 0").count():
+        keyed = keyed.unionByName(_null_keys(narrow.filter("doc_id is null")))
+    narrow = keyed.drop("_text")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     aims = written(aims.withColumn("_rate", rate), "mix-targets")
-    rated = _with_plan(narrow.select("source", "size", *[d.alias(f"_d{i}") for i, d in enumerate(draws())]), aims.select("source", "_rate"))
+    rated = _with_plan(narrow.select("source", "size", *[d.alias(f"_d{i}") for i, d in enumerate(draws("_key"))]), aims.select("source", "_rate"))
     extra = [F.sum(F.when(F.col(f"_d{i}") < _fraction(), F.col("size")).otherwise(0)).alias(f"_s{i}") for i in range(SEEDS)]
     sums = rated.groupBy("source").agg(*extra).withColumnRenamed("source", "_source")
     both = aims.join(sums, aims["source"].eqNullSafe(F.col("_source")))
@@ -111,22 +137,27 @@ def plan(docs: DataFrame, **kw) -> tuple[DataFrame, DataFrame]:
 def mixture_sizes(docs: DataFrame, **kw) -> DataFrame:
     """doc_id, size, source_size, target and taken (size times copies) per row of `docs`.
 
-    A null text has size 0; a null source is a source of its own; repeated rows draw alike. Documents of a source
-    without any word are not taken. Other columns are ignored.
+    A null text has size 0; a null source is a source of its own; rows of one id draw alike, rows without an id
+    each for itself. Documents of a source without any word are not taken. Other columns are ignored.
     """
     narrow, aims = plan(docs, **kw)
-    drawn = F.element_at(F.array(*draws()), F.col("_seed") + 1)
+    drawn = F.element_at(F.array(*draws("_key")), F.col("_seed") + 1)
     return _with_plan(narrow, aims).select("doc_id", "size", "source_size", "target", (F.col("size") * copies(drawn)).alias("taken"))
 
 
 def mixed(docs: DataFrame, **kw) -> DataFrame:
     """The rows of `docs`, each as often as the mix takes it; columns as they are, also under clashing names."""
-    aims = plan(docs, **kw)[1]
-    names = unique_names(docs, ["_source", "_rate", "_seed", "_copy", "source_size", "target"])
-    aims = aims.select(*[F.col(c).alias(names.get(c, names["_source"])) for c in ("source", "_rate", "_seed")])
-    drawn = F.element_at(F.array(*draws()), F.col(names["_seed"]) + 1)
-    rate = F.col(names["_rate"])
+    aims = plan(docs, **kw)[1].select(F.struct("source", "_rate", "_seed").alias("_plan"))
+    no_id = docs["doc_id"].isNull()
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("_row")  # names inside a struct clash with nothing
+    rows = docs.select(row, docs["source"].alias("source"), docs["doc_id"].cast("string").alias("_key"), F.when(no_id, _digest(docs["text"])).alias("_text"))
+    without = rows.filter("_key is null")
+    parts = rows.filter("_key is not null")
+    if not without.isEmpty():
+        parts = parts.unionByName(_null_keys(without.drop("_key")))
+    joined = parts.join(maybe_broadcast(aims), F.col("source").eqNullSafe(F.col("_plan.source")))
+    rate = F.col("_plan._rate")
+    drawn = F.element_at(F.array(*draws("_key")), F.col("_plan._seed") + 1)
     times = F.floor(rate).cast("int") + F.when(drawn < (rate - F.floor(rate)) * F.lit(2.0**32), 1).otherwise(0)
-    joined = docs.join(maybe_broadcast(aims), docs["source"].eqNullSafe(F.col(names["_source"])))
-    repeated = joined.withColumn(names["_copy"], F.explode(F.array_repeat(F.lit(0), times)))
-    return repeated.select(*[docs[c] for c in docs.columns])
+    repeated = joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), times)))
+    return repeated.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
