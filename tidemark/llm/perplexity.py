@@ -5,6 +5,13 @@ highest order over all documents of a language, and continuation counts, discoun
 probabilities follow by aggregates and joins over that table. A model is stored as arrays of sorted 60-bit n-gram
 keys with log probabilities, and of context keys with log back-off weights, searched by bisection.
 
+A text is never scored by its own counts: texts fall into two folds by a hash, and each fold is scored by the
+model of the other one. Equal texts share a fold, so copies do not vouch for each other.
+
+A model larger than one pass is scored in passes over ranges of contexts. Read backwards from its end, a context is a
+number, and all that a back-off from it can visit are the starts of that number; so every n-gram is scored whole in
+exactly one pass, and a text's score is the sum over the passes.
+
 Characters are the unit because their n-grams stay few next to the text, in any language; word n-grams are nearly
 all different in a large corpus, and shipping them twice would cost more than the corpus itself.
 """
@@ -24,35 +31,45 @@ ORDER = 5
 BITS = 12  # of a symbol; five fit into one key
 START = 2
 BLOCK_CHARS = 1_000_000
-MODEL_ENTRIES = 30_000_000  # of the languages scored in one pass; more languages take more passes
-BAND = 3.0  # quartile distances beyond the quartiles, for long texts
-SHORT_CHARS = 200  # the band is wider by sqrt(SHORT_CHARS / characters): means over few characters vary more
+WIDE = 3584  # code points from here on are two symbols, so that no two texts look alike
+FOLDS = 2
+MODEL_ENTRIES = 4_000_000  # scored in one pass, about 50 MB on the driver; larger models take more passes
+LOWER_BAND, UPPER_BAND = 2.0, 1.5  # quartile distances below the lower and above the upper quartile
+FEW = 2.33  # two standard errors of a quartile distance are this share of it, divided by the square root of the texts
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 SYMBOL_MARKS = b"#*$%&|<>"
 START_MARK = "\U0010ffff"
 
 
 def _symbols() -> np.ndarray:
-    """Symbol of each code point: no case, one digit, one space; code points from 4096 on share 256 symbols."""
+    """Folded code point of each code point: no case, one digit, one space."""
     table = np.empty(0x110000, dtype=np.int64)
     for cp in range(0x110000):
         c = chr(cp)
         c = "0" if c.isdigit() else " " if c.isspace() or cp == START else c.lower()
-        code = ord(c) if len(c) == 1 else cp
-        table[cp] = code if code < 4096 else 3840 + code % 256
+        table[cp] = ord(c) if len(c) == 1 else cp
     table[ord(START_MARK)] = START
     return table
 
 
 def packed(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram key that ends at each character, texts one after the other, and the texts' sizes.
+    """The n-gram key that ends at each symbol, texts one after the other, and the texts' sizes in symbols.
 
-    Every text is preceded by start symbols, so no n-gram crosses texts.
+    Every text is preceded by start symbols, so no n-gram crosses texts. A code point from WIDE on is a
+    leading symbol of its upper bits and one of its lower 12 bits.
     """
     sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
     lead = START_MARK * (ORDER - 1)
     joined = "".join(lead + t for t in texts)
     codes = table[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+    wide = codes >= WIDE
+    if wide.any():
+        owner = np.repeat(np.arange(len(texts)), sizes + ORDER - 1)
+        sizes = sizes + np.bincount(owner[wide], minlength=len(texts))
+        at = np.flatnonzero(wide) + np.arange(int(wide.sum()))
+        high, low = WIDE + (codes[wide] >> BITS), codes[wide] & ((1 << BITS) - 1)
+        codes = np.repeat(codes, 1 + wide)
+        codes[at], codes[at + 1] = high, low
     grams = np.zeros(max(0, len(codes) - ORDER + 1), dtype=np.int64)
     for k in range(ORDER):
         grams <<= BITS
@@ -73,16 +90,25 @@ def _blocks(rows: list[int], texts: list[str]):
         yield part
 
 
+def model_of(folds: int, other: bool = False) -> F.Column:
+    """Name of the model that scores a row (`other`: of the model that counts it): fold and language; null counts as ''."""
+    fold = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")) % folds
+    return F.concat(((folds - 1 - fold) if other else fold).cast("string"), F.coalesce(F.col("lang"), F.lit("")))
+
+
 def _by_language(batch) -> tuple[list[str], dict[str, list[int]]]:
     texts = [t or "" for t in batch.column("text").to_pylist()]
     rows: dict[str, list[int]] = {}
     for i, lang in enumerate(batch.column("lang").to_pylist()):
-        rows.setdefault(lang or "", []).append(i)
+        rows.setdefault(lang, []).append(i)
     return texts, rows
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """(lang, gram, c): n-grams of the highest order over all texts; null counts as the language ''."""
+def counts(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
+    """(lang, gram, c): n-grams of the highest order per model; `lang` is the model's name, see `model_of`.
+
+    With two folds a text counts in the model that scores the other fold, with one in the only model.
+    """
 
     def run(batches):
         table = _symbols()
@@ -111,7 +137,8 @@ def counts(docs: DataFrame) -> DataFrame:
                         waiting = 0
         yield from flush()
 
-    parts = pick(docs, "text", "lang").mapInArrow(run, "lang string, gram bigint, n bigint")
+    named = pick(docs, "text", "lang").select("text", model_of(folds, other=True).alias("lang"))
+    parts = named.mapInArrow(run, "lang string, gram bigint, n bigint")
     return parts.groupBy("lang", "gram").agg(F.sum("n").alias("c"))
 
 
@@ -157,8 +184,7 @@ def estimate(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
         probabilities.append(lower.select("lang", F.lit(n).alias("n"), "gram", F.log("p").cast("float").alias("value")))
         base = F.log("gamma") if n > 1 else F.log(F.col("gamma") / (F.col("size") + 1))  # order 1: what an unseen symbol gets
         weights.append(around.select("lang", F.lit(n - 1).alias("n"), F.col("context").alias("gram"), base.cast("float").alias("value")))
-    union = lambda parts: written(_all(parts), "ngram-model")
-    return union(probabilities), union(weights)
+    return _all(probabilities), _all(weights)
 
 
 def _all(parts: list[DataFrame]) -> DataFrame:
@@ -168,36 +194,100 @@ def _all(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def passes(probabilities: DataFrame, weights: DataFrame, most: int = MODEL_ENTRIES) -> list[list[str]]:
-    """Groups of languages whose models together have at most `most` entries."""
-    sizes = _all([probabilities, weights]).groupBy("lang").count().collect()  # one row per language
-    groups: list[list[str]] = []
+def _backwards(gram: F.Column, order: int) -> F.Column:
+    """The last `order` symbols of a context, last one first, as the upper symbols of a context number."""
+    mask = F.lit((1 << BITS) - 1)
+    parts = [F.shiftleft(F.shiftright(gram, BITS * i).bitwiseAND(mask), BITS * (ORDER - 2 - i)) for i in range(order)]
+    out = F.lit(0).cast("bigint")
+    for p in parts:
+        out = out.bitwiseOR(p)
+    return out
+
+
+CONTEXTS = 1 << (BITS * (ORDER - 1))
+
+
+def spans(probabilities: DataFrame, weights: DataFrame) -> DataFrame:
+    """All entries as (lang, kind, n, gram, value, lo, hi): an entry serves the contexts from lo to before hi."""
+
+    def one(rows, kind, context, order_of):
+        lo, hi = F.lit(None).cast("bigint"), F.lit(None).cast("bigint")
+        for n in range(ORDER + 1):
+            order = order_of(n)
+            if 0 <= order <= ORDER - 1:
+                start = _backwards(context, order)
+                lo = F.when(F.col("n") == n, start).otherwise(lo)
+                hi = F.when(F.col("n") == n, start + F.lit(1 << (BITS * (ORDER - 1 - order)))).otherwise(hi)
+        return rows.select("lang", F.lit(kind).alias("kind"), F.col("n").cast("tinyint"), "gram", "value", lo.alias("lo"), hi.alias("hi"))
+
+    after = one(probabilities, "p", F.shiftright("gram", BITS), lambda n: n - 1)
+    return after.unionByName(one(weights, "b", F.col("gram"), lambda n: n))
+
+
+def passes(entries: DataFrame, most: int = MODEL_ENTRIES) -> list[list[tuple[str, int, int]]]:
+    """Groups of (model, from, to): ranges of contexts whose entries together are about `most` at the most.
+
+    A model above `most` is cut at quantiles of its entries' contexts; smaller ones share a pass.
+    """
+    sizes = entries.groupBy("lang").count().collect()  # one row per language and fold
+    cut: dict[str, list[int]] = {}
+    for lang, n in sizes:
+        pieces = -(-n // most)
+        at = []
+        if pieces > 1:
+            shares = [i / pieces for i in range(1, pieces)]
+            at = entries.filter(F.col("lang") == lang).agg(F.percentile_approx("lo", shares, 100 * pieces)).first()[0]
+        cut[lang] = sorted({0, *at, CONTEXTS})
+    groups: list[list[tuple[str, int, int]]] = []
     room = 0
     for lang, n in sorted(map(tuple, sizes)):
-        if n > most:
-            raise ValueError(f"the model of {lang!r} has {n} entries; allow that many per pass, or lower ORDER")
-        if n > room:
-            groups.append([])
-            room = most
-        groups[-1].append(lang)
-        room -= n
+        bounds = cut[lang]
+        for lo, hi in zip(bounds, bounds[1:]):
+            share = n // (len(bounds) - 1)
+            if not groups or share > room:
+                groups.append([])
+                room = most
+            groups[-1].append((lang, lo, hi))
+            room -= share
     return groups
 
 
-def load(probabilities: DataFrame, weights: DataFrame, langs: list[str]) -> dict:
-    """{lang: {(kind, n): (sorted keys, values)}} of some languages."""
-    model: dict = {lang: {} for lang in langs}
-    for kind, rows in (("p", probabilities), ("b", weights)):
-        found = rows.filter(F.col("lang").isin(langs)).toArrow()
-        for lang in langs:
+def load(entries: DataFrame, ranges: list[tuple[str, int, int]]) -> dict:
+    """{model: [(from, to, {(kind, n): (sorted keys, values)})]} of the ranges of one pass."""
+    model: dict = {}
+    for lang, lo, hi in ranges:
+        mine = entries.filter((F.col("lang") == lang) & (F.col("lo") < hi) & (F.col("hi") > lo))
+        found = mine.select("kind", "n", "gram", "value").toArrow()  # bounded by the entries of a pass
+        arrays = {}
+        for kind in "pb":
             for k in range(ORDER + 1):
-                part = found.filter((pc.field("lang") == lang) & (pc.field("n") == k))
+                part = found.filter((pc.field("kind") == kind) & (pc.field("n") == k))
                 grams = part.column("gram").to_numpy()
                 order = np.argsort(grams)
-                model[lang][kind, k] = (grams[order], part.column("value").to_numpy()[order])
+                arrays[kind, k] = (grams[order], part.column("value").to_numpy()[order])
+        model.setdefault(lang, []).append((lo, hi, arrays))
     return model
 
 
+def _context_numbers(grams: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(grams), dtype=np.int64)
+    for i in range(1, ORDER):
+        out <<= BITS
+        out |= (grams >> (BITS * i)) & ((1 << BITS) - 1)
+    return out
+
+
+def scores(ranges: list, grams: np.ndarray) -> np.ndarray:
+    """Log probabilities of the n-grams whose contexts lie in the ranges; 0 for all others."""
+    if len(ranges) == 1 and ranges[0][:2] == (0, CONTEXTS):
+        return log_probabilities(ranges[0][2], grams)
+    out, numbers = np.zeros(len(grams)), _context_numbers(grams)
+    for lo, hi, arrays in ranges:
+        inside = (numbers >= lo) & (numbers < hi)
+        out[inside] = log_probabilities(arrays, grams[inside])
+    return out
+
+
 def _find(arrays: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     known, values = arrays
     if not len(known):
@@ -246,60 +336,77 @@ def base_counts(text: bytes) -> tuple[int, int, int, int, int]:
     return len(words), chars, len(text) - len(text.translate(None, SYMBOL_MARKS)), twice, repeated
 
 
-def measures(docs: DataFrame, model: dict | None) -> DataFrame:
-    """doc_id, lang, the base counts and log_perplexity per row; null where there is no character or no model of the language."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def log_sums(rows: DataFrame, model: dict) -> DataFrame:
+    """(row, log_sum, symbols) of rows (row, text, lang), `lang` the name of a model; for models that are not there, nothing."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
     table_of: list[np.ndarray] = []
 
     def one(batch):
         table_of or table_of.append(_symbols())
-        texts, rows = _by_language(batch)
-        logs: list[float | None] = [None] * len(texts)
-        for lang, mine in rows.items():
-            known = (shared.value or {}).get(lang)
+        texts, found = _by_language(batch)
+        ids = batch.column("row").to_numpy()
+        out = []
+        for lang, mine in found.items():
+            known = shared.value.get(lang)
             for part in _blocks(mine, texts) if known else ():
                 grams, sizes = packed([texts[i] for i in part], table_of[0])
                 coded = pa.array(grams).dictionary_encode()
-                each = log_probabilities(known, coded.dictionary.to_numpy())[coded.indices.to_numpy()]
-                sums = np.bincount(np.repeat(np.arange(len(part)), sizes), weights=each, minlength=len(part))
-                for i, s, n in zip(part, sums, sizes):
-                    logs[i] = -s / n if n else None
-        base = list(zip(*[base_counts(t.encode()) for t in texts]))
-        return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").cast(pa.int64()), batch.column("lang").cast(pa.string()), *(pa.array(b, pa.int64()) for b in base), pa.array(logs, pa.float64())],
-            ["doc_id", "lang", *BASE, "log_perplexity"],
-        )
+                each = scores(known, coded.dictionary.to_numpy())[coded.indices.to_numpy()]
+                sums = np.bincount(np.repeat(np.arange(len(part)), sizes), weights=each, minlength=len(part)).astype(np.float64)
+                out.append((ids[part], sums, sizes))
+        if out:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["row", "log_sum", "symbols"])
+
+    mine = rows.filter(F.col("lang").isin(list(model)))
+    return per_batch(mine, one, "row bigint, log_sum double, symbols bigint")
+
+
+def measures(docs: DataFrame, entries: DataFrame, folds: int = FOLDS, most: int = MODEL_ENTRIES) -> DataFrame:
+    """doc_id, lang, the base counts and log_perplexity per row; null where there is no character or no model of the language."""
+
+    def base(batch):
+        counted = list(zip(*[base_counts((t or "").encode()) for t in batch.column("text").to_pylist()]))
+        kept = [batch.column("row"), batch.column("doc_id").cast(pa.int64()), batch.column("lang").cast(pa.string())]
+        return pa.RecordBatch.from_arrays([*kept, *(pa.array(c, pa.int64()) for c in counted)], ["row", "doc_id", "lang", *BASE])
 
-    return per_batch(pick(docs, "doc_id", "text", "lang"), one, f"doc_id bigint, lang string, {', '.join(f'{b} bigint' for b in BASE)}, log_perplexity double")
+    numbered = written(pick(docs, "doc_id", "text", "lang").withColumn("row", F.monotonically_increasing_id()), "texts")
+    texts = numbered.select("row", "text", model_of(folds).alias("lang"))
+    rows = per_batch(numbered, base, f"row bigint, doc_id bigint, lang string, {', '.join(f'{b} bigint' for b in BASE)}")
+    # One pass after the other, so that only one model is held at a time.
+    sums = [written(log_sums(texts, load(entries, ranges)), "log-sums") for ranges in passes(entries, most)]
+    if not sums:
+        return rows.select("doc_id", "lang", *BASE, F.lit(None).cast("double").alias("log_perplexity"))
+    logs = _all(sums).groupBy("row").agg(F.try_divide(-F.sum("log_sum"), F.max("symbols")).alias("log_perplexity"))
+    return rows.join(logs, "row", "left").select("doc_id", "lang", *BASE, "log_perplexity")
 
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def judged(docs: DataFrame, band: float = BAND) -> DataFrame:
-    """Per row: doc_id, the base counts, base_failed, log_perplexity, kept.
+def judged(docs: DataFrame, lower_band: float = LOWER_BAND, upper_band: float = UPPER_BAND, most: int = MODEL_ENTRIES) -> DataFrame:
+    """Per row: doc_id, the base counts, base_failed, kept, log_perplexity.
 
     A text fails the base rules with fewer than 10 words or with over 20 % of its words in repeated
-    5-word windows. Of the others, a text is kept if its log perplexity lies within `band` quartile distances
-    of the quartiles of its language, taken over all texts that pass the base rules. Null and empty texts have no words and fail.
-    A null language is a language of its own; repeated rows and ids stay. Other columns are ignored.
+    5-word windows. Of the others, a text's log perplexity, by a model that has not counted it, is compared with its
+    language's median. A mean over n characters scatters as 1 / sqrt(n), so the deviation times sqrt(n) is what has a common
+    spread; a text is kept if it lies within `lower_band` quartile distances below and `upper_band` above the
+    quartiles of that, taken per language over all texts that pass the base rules; the distance is widened by two standard errors of itself,
+    which matters for languages of few texts. A text whose language has no other text to
+    judge it by is kept. Null and empty texts have no words and fail. A null language is a language of its own; repeated rows
+    and ids stay. Other columns are ignored.
     """
-    probabilities, weights = estimate(written(counts(docs), "ngrams"))
     known = F.coalesce(F.col("lang"), F.lit(""))
-    groups = passes(probabilities, weights)
-    if len(groups) <= 1:
-        parts = [measures(docs, load(probabilities, weights, groups[0]) if groups else None)]
-    else:
-        named = [lang for langs in groups for lang in langs]
-        parts = [measures(docs.filter(known.isin(langs)), load(probabilities, weights, langs)) for langs in groups]
-        parts.append(measures(docs.filter(~known.isin(named)), None))  # languages without any character
+    entries = written(spans(*estimate(written(counts(docs), "ngrams"))), "ngram-entries")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    rows = written(_all(parts).withColumn("base_failed", failed), "measures")
-    quartiles = F.percentile_approx("log_perplexity", [0.25, 0.75], 10_000)
-    bands = rows.filter(~F.col("base_failed")).groupBy(known.alias("_lang")).agg(quartiles.alias("q"))
-    bands = written(bands.select("_lang", F.col("q")[0].alias("lower"), F.col("q")[1].alias("upper")), "bands")
-    joined = rows.join(maybe_broadcast(bands), known == F.col("_lang"), "left")  # one row per language
-    wide = band * (F.col("upper") - F.col("lower")) * (1 + F.sqrt(SHORT_CHARS / F.greatest("word_chars", F.lit(1))))
-    inside = F.col("log_perplexity").between(F.col("lower") - wide, F.col("upper") + wide)
+    rows = written(measures(docs, entries, most=most).withColumn("base_failed", failed), "measures")
+    passed = rows.filter(~F.col("base_failed"))
+    centres = written(passed.groupBy(known.alias("_lang")).agg(F.percentile_approx("log_perplexity", 0.5, 10_000).alias("_centre")), "centres")
+    scaled = ((F.col("log_perplexity") - F.col("_centre")) * F.sqrt("word_chars")).alias("_off")
+    off = passed.join(maybe_broadcast(centres), known == F.col("_lang")).select("_lang", "_centre", scaled)  # one row per language
+    bands = off.groupBy("_lang", "_centre").agg(F.percentile_approx("_off", [0.25, 0.75], 10_000).alias("_q"), F.count("_off").alias("_n"))
+    spread = (F.col("_q")[1] - F.col("_q")[0]) * (1 + F.try_divide(F.lit(FEW), F.sqrt("_n")))
+    bands = written(bands.select("_lang", "_centre", F.col("_q")[0].alias("_low"), F.col("_q")[1].alias("_high"), spread.alias("_wide")), "bands")
+    joined = rows.join(maybe_broadcast(bands), known == F.col("_lang"), "left").select("*", scaled)
+    inside = F.col("_off").between(F.col("_low") - lower_band * F.col("_wide"), F.col("_high") + upper_band * F.col("_wide"))
     kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(True))
-    return joined.select("doc_id", *BASE, "base_failed", "log_perplexity", kept.alias("kept"))
+    return joined.select("doc_id", *BASE, "base_failed", kept.alias("kept"), "log_perplexity")
