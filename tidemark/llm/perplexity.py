@@ -5,8 +5,9 @@ highest order over all documents of a language, and continuation counts, discoun
 probabilities follow by aggregates and joins over that table. A model is stored as arrays of sorted 60-bit n-gram
 keys with log probabilities, and of context keys with log back-off weights, searched by bisection.
 
-A text is never scored by its own counts: texts fall into two folds by a hash, and each fold is scored by the
-model of the other one. Equal texts share a fold, so copies do not vouch for each other.
+A text is never scored by its own counts: texts fall into two folds, and each fold is scored by the model of
+the other one. The fold comes from the smallest hash of a text's stretches of 20 symbols, so copies share it and
+near-copies mostly do, and they do not vouch for each other.
 
 A model larger than one pass is scored in passes over ranges of contexts. Read backwards from its end, a context is a
 number, and all that a back-off from it can visit are the starts of that number; so every n-gram is scored whole in
@@ -18,6 +19,8 @@ all different in a large corpus, and shipping them twice would cost more than th
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -34,7 +37,7 @@ BLOCK_CHARS = 1_000_000
 WIDE = 3584  # code points from here on are two symbols, so that no two texts look alike
 FOLDS = 2
 MODEL_ENTRIES = 4_000_000  # scored in one pass, about 50 MB on the driver; larger models take more passes
-LOWER_BAND, UPPER_BAND = 2.0, 1.5  # quartile distances below the lower and above the upper quartile
+LOWER_BAND, UPPER_BAND = 2.5, 1.5  # quartile distances below the lower and above the upper quartile
 FEW = 2.33  # two standard errors of a quartile distance are this share of it, divided by the square root of the texts
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 SYMBOL_MARKS = b"#*$%&|<>"
@@ -90,9 +93,51 @@ def _blocks(rows: list[int], texts: list[str]):
         yield part
 
 
+MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
+
+
+def folds_of(texts: list[str], table: np.ndarray) -> np.ndarray:
+    """0 or 1 per text, by the smallest hash of its stretches of four n-grams; texts shorter than that by a hash of the whole."""
+    out = np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) & 1 for t in texts], dtype=np.int32)
+    reach = ORDER * (len(MIX) - 1)
+    for part in _blocks(range(len(texts)), texts):
+        grams, sizes = packed([texts[i] for i in part], table)
+        grams = np.concatenate([grams, np.zeros(reach, dtype=np.int64)]).view(np.uint64)
+        n = int(sizes.sum())
+        mixed = np.zeros(n, dtype=np.uint64)
+        for k, factor in enumerate(MIX):
+            mixed = (mixed ^ (mixed >> np.uint64(29)) ^ grams[ORDER * k : ORDER * k + n]) * factor
+        starts = np.cumsum(sizes) - sizes
+        left = np.repeat(starts + sizes, sizes) - np.arange(n)
+        mixed[left <= reach] = np.iinfo(np.uint64).max  # would reach into the next text
+        long = np.flatnonzero(sizes > reach)
+        if len(long):
+            least = np.minimum.reduceat(mixed, np.column_stack([starts[long], np.minimum(starts[long] + sizes[long], n - 1)]).ravel())[::2]
+            out[np.array(part)[long]] = (least >> np.uint64(24)) & np.uint64(1)
+    return out
+
+
+def prepared(docs: DataFrame) -> DataFrame:
+    """row, doc_id, text, lang, fold and the base counts per row, written; null languages stay null."""
+    table_of: list[np.ndarray] = []
+
+    def one(batch):
+        table_of or table_of.append(_symbols())
+        texts = [t or "" for t in batch.column("text").to_pylist()]
+        counted = list(zip(*[base_counts(t.encode()) for t in texts]))
+        kept = [batch.column("row"), batch.column("doc_id").cast(pa.int64()), batch.column("text").cast(pa.string()), batch.column("lang").cast(pa.string())]
+        return pa.RecordBatch.from_arrays(
+            [*kept, pa.array(folds_of(texts, table_of[0])), *(pa.array(c, pa.int64()) for c in counted)], ["row", "doc_id", "text", "lang", "fold", *BASE]
+        )
+
+    numbered = pick(docs, "doc_id", "text", "lang").withColumn("row", F.monotonically_increasing_id())
+    schema = f"row bigint, doc_id bigint, text string, lang string, fold int, {', '.join(f'{b} bigint' for b in BASE)}"
+    return written(per_batch(numbered, one, schema), "texts")
+
+
 def model_of(folds: int, other: bool = False) -> F.Column:
     """Name of the model that scores a row (`other`: of the model that counts it): fold and language; null counts as ''."""
-    fold = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")) % folds
+    fold = F.col("fold") % folds
     return F.concat(((folds - 1 - fold) if other else fold).cast("string"), F.coalesce(F.col("lang"), F.lit("")))
 
 
@@ -104,8 +149,8 @@ def _by_language(batch) -> tuple[list[str], dict[str, list[int]]]:
     return texts, rows
 
 
-def counts(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
-    """(lang, gram, c): n-grams of the highest order per model; `lang` is the model's name, see `model_of`.
+def counts(rows: DataFrame, folds: int = FOLDS) -> DataFrame:
+    """(lang, gram, c) of prepared rows: n-grams of the highest order per model; `lang` is the model's name, see `model_of`.
 
     With two folds a text counts in the model that scores the other fold, with one in the only model.
     """
@@ -137,7 +182,7 @@ def counts(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
                         waiting = 0
         yield from flush()
 
-    named = pick(docs, "text", "lang").select("text", model_of(folds, other=True).alias("lang"))
+    named = rows.select("text", model_of(folds, other=True).alias("lang"))
     parts = named.mapInArrow(run, "lang string, gram bigint, n bigint")
     return parts.groupBy("lang", "gram").agg(F.sum("n").alias("c"))
 
@@ -361,17 +406,10 @@ def log_sums(rows: DataFrame, model: dict) -> DataFrame:
     return per_batch(mine, one, "row bigint, log_sum double, symbols bigint")
 
 
-def measures(docs: DataFrame, entries: DataFrame, folds: int = FOLDS, most: int = MODEL_ENTRIES) -> DataFrame:
-    """doc_id, lang, the base counts and log_perplexity per row; null where there is no character or no model of the language."""
-
-    def base(batch):
-        counted = list(zip(*[base_counts((t or "").encode()) for t in batch.column("text").to_pylist()]))
-        kept = [batch.column("row"), batch.column("doc_id").cast(pa.int64()), batch.column("lang").cast(pa.string())]
-        return pa.RecordBatch.from_arrays([*kept, *(pa.array(c, pa.int64()) for c in counted)], ["row", "doc_id", "lang", *BASE])
-
-    numbered = written(pick(docs, "doc_id", "text", "lang").withColumn("row", F.monotonically_increasing_id()), "texts")
-    texts = numbered.select("row", "text", model_of(folds).alias("lang"))
-    rows = per_batch(numbered, base, f"row bigint, doc_id bigint, lang string, {', '.join(f'{b} bigint' for b in BASE)}")
+def measures(rows: DataFrame, entries: DataFrame, folds: int = FOLDS, most: int = MODEL_ENTRIES) -> DataFrame:
+    """doc_id, lang, the base counts and log_perplexity per prepared row; null where there is no character or no model of the language."""
+    texts = rows.select("row", "text", model_of(folds).alias("lang"))
+    rows = rows.select("row", "doc_id", "lang", *BASE)
     # One pass after the other, so that only one model is held at a time.
     sums = [written(log_sums(texts, load(entries, ranges)), "log-sums") for ranges in passes(entries, most)]
     if not sums:
@@ -396,9 +434,10 @@ def judged(docs: DataFrame, lower_band: float = LOWER_BAND, upper_band: float =
     and ids stay. Other columns are ignored.
     """
     known = F.coalesce(F.col("lang"), F.lit(""))
-    entries = written(spans(*estimate(written(counts(docs), "ngrams"))), "ngram-entries")
+    texts = prepared(docs)
+    entries = written(spans(*estimate(written(counts(texts), "ngrams"))), "ngram-entries")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    rows = written(measures(docs, entries, most=most).withColumn("base_failed", failed), "measures")
+    rows = written(measures(texts, entries, most=most).withColumn("base_failed", failed), "measures")
     passed = rows.filter(~F.col("base_failed"))
     centres = written(passed.groupBy(known.alias("_lang")).agg(F.percentile_approx("log_perplexity", 0.5, 10_000).alias("_centre")), "centres")
     scaled = ((F.col("log_perplexity") - F.col("_centre")) * F.sqrt("word_chars")).alias("_off")
