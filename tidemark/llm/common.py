@@ -87,13 +87,13 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[df[n] for n in names])
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
     """Writes `df` to the shared folder of spark.checkpoint.dir and returns a scan of it.
 
-    Cuts the lineage: later steps survive lost executors without computing it again.
+    Cuts the lineage: later steps survive lost executors without computing it again. `codec` compresses other than by the session's.
     """
     path = f"{stage_dir(df.sparkSession)}/tidemark/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

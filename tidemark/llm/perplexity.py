@@ -132,7 +132,7 @@ def prepared(docs: DataFrame) -> DataFrame:
 
     numbered = pick(docs, "doc_id", "text", "lang").withColumn("row", F.monotonically_increasing_id())
     schema = f"row bigint, doc_id bigint, text string, lang string, fold int, {', '.join(f'{b} bigint' for b in BASE)}"
-    return written(per_batch(numbered, one, schema), "texts")
+    return written(per_batch(numbered, one, schema), "texts", codec="zstd")  # whole texts, kept for all passes
 
 
 def model_of(folds: int, other: bool = False) -> F.Column:
