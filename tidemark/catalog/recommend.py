@@ -8,6 +8,7 @@ from tidemark.catalog.registry import query
 from tidemark.inputs import interactions, items, load, training_events, users
 from tidemark.operators import cf, scoring
 from tidemark.operators import entity_features as E
+from tidemark.plans import custom
 from tidemark.plans import popularity_cf as P
 
 T0 = "TIMESTAMP '2024-01-31 00:00:00'"
@@ -457,3 +458,28 @@ def _(spark, d):
     best = scoring.top_k(base(spark, d), 20).drop("rank")
     meta = items(spark, d).select("item_id", "category")
     return rerank.rerank(rerank.pack(best.join(meta, "item_id"), "category"), "category_gap", limit=8).withColumn("score", F.round("score", 6))
+
+
+@query("scores_clipped", f"""WITH {WEIGHTED}, {BASE}
+SELECT user_id, item_id, round(least(1.5, greatest(-1.0, {NORM_SQL["zscore"]})), 5) AS score FROM s WINDOW w AS (PARTITION BY user_id)""")
+def _(spark, d):
+    return scoring.normalise(base(spark, d), "zscore", clip=(-1.0, 1.5)).withColumn("score", F.round("score", 5))
+
+
+# --- a scorer of one's own --------------------------------------------------------------
+
+
+def premium_cf(weights, items, context):
+    """Item CF scores, raised for premium items."""
+    sims = cf.item_neighbours(cf.mirrored(cf.item_similarity(weights)), context["neighbours"])
+    rows = cf.item_cf_scores(weights, sims).join(items.select("item_id", "is_premium"), "item_id")
+    return rows.withColumn("score", F.when(F.col("is_premium"), F.col("score") * context["premium"]).otherwise(F.col("score")))
+
+
+@query("recommend_scorer", f"""WITH {WEIGHTED}, {ITEM_TOP}, {ITEM_CF},
+sc AS (SELECT user_id, item_id, CASE WHEN is_premium THEN score * 1.25 ELSE score END AS score FROM icf JOIN items USING (item_id))
+SELECT user_id, item_id, round(score, 4) AS score, CAST(row_number() OVER (PARTITION BY user_id ORDER BY round(score, 10) DESC, item_id) AS INT) AS rank FROM sc
+WHERE score >= 0.05 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY round(score, 10) DESC, item_id) <= 10""")
+def _(spark, d):
+    recs = custom.recommend(premium_cf, weighted(spark, d), items(spark, d), {"neighbours": 20, "premium": 1.25}, k=10, min_score=0.05)
+    return recs.select("user_id", "item_id", "score", "rank")

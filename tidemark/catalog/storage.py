@@ -5,6 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tidemark.catalog.registry import query
+from tidemark.functions import timefn as tf
 from tidemark.functions.stage import stage_dir
 from tidemark.inputs import interactions, raw
 from tidemark.operators import cf
@@ -95,3 +96,55 @@ def _(spark, d):
     root = place(spark, "store")
     tables.save_stage(plain_events(spark, d), root, "interim", "events")
     return tables.load_stage(spark, root, "interim", "events")
+
+
+ARRAY_ROWS = 1_000  # rows per JSON array or text file
+
+
+@query("source_json_arrays", PLAIN)
+def _(spark, d):
+    rows = plain_events(spark, d)
+    path = place(spark, "events.json")
+    part = F.floor(F.col("event_id") / ARRAY_ROWS).alias("part")
+    arrays = rows.groupBy(part).agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value"))
+    arrays.repartition("part").write.partitionBy("part").text(path)  # a file per array
+    return files.read_json(spark, path, rows.schema).select(*rows.columns)
+
+
+@query("source_txt", f"""SELECT event_type AS content, row_number() OVER (PARTITION BY event_id // {ARRAY_ROWS} ORDER BY event_id) AS line_number
+  FROM events QUALIFY event_id % 7 <> 3""")
+def _(spark, d):
+    path = place(spark, "events.txt")
+    blank = F.when(F.col("event_id") % 7 == 3, F.lit(" ")).otherwise(F.col("event_type"))
+    lines = plain_events(spark, d).select(F.floor(F.col("event_id") / ARRAY_ROWS).alias("part"), "event_id", blank.alias("value"))
+    lines.repartition("part").sortWithinPartitions("part", "event_id").drop("event_id").write.partitionBy("part").text(path)
+    return files.read_file(spark, path).select("line_number", "content")
+
+
+def in_files(spark, d):
+    """Events as a Parquet table of several files, in order of their ids."""
+    path = place(spark, "events")
+    plain_events(spark, d).repartitionByRange(8, "event_id").sortWithinPartitions("event_id").write.parquet(path)
+    return path
+
+
+@query("scan_batches", """SELECT event_id // 700 AS batch, count(*) AS rows, min(event_id) AS first_id, max(event_id) AS last_id, round(sum(value), 4) AS total FROM events GROUP BY 1""")
+def _(spark, d):
+    rows = tables.scan_batches(spark, in_files(spark, d), 700)
+    sums = [F.count(F.lit(1)).alias("rows"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"), F.round(F.sum("value"), 4).alias("total")]
+    return rows.groupBy("batch").agg(*sums)
+
+
+@query("scan_offset", f"SELECT * FROM ({PLAIN}) ORDER BY event_id LIMIT 250 OFFSET 450")
+def _(spark, d):
+    return tables.scan_offset(spark, in_files(spark, d), 450, 250)
+
+
+@query("parsed_times", """SELECT event_id, CASE WHEN event_id % 6 IN (2, 4) THEN date_trunc('day', ts) WHEN event_id % 6 = 5 THEN NULL
+  ELSE date_trunc('second', ts) END AS parsed FROM events""")
+def _(spark, d):
+    rows = raw(spark, d, "events").select("event_id", "ts")
+    written = lambda layout: F.date_format("ts", layout)
+    forms = [written("yyyy-MM-dd'T'HH:mm:ss'Z'"), F.unix_timestamp("ts").cast("string"), written("yyyy-MM-dd"), written("yyyy/MM/dd HH:mm:ss"), written("yyyy/MM/dd")]
+    text = F.coalesce(*[F.when(F.col("event_id") % 6 == i, form) for i, form in enumerate(forms)], F.lit("no time"))
+    return rows.select("event_id", tf.parse_datetime(text).alias("parsed"))

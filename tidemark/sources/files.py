@@ -72,20 +72,21 @@ def read_txt(spark: SparkSession, path: str, schema: T.StructType | None = None)
 
 
 def number_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_number, content) of one text file, 1-based.
+    """(line_number, content) of a text file, 1-based; in a folder every file is numbered for itself.
 
     Lines are numbered inside each split and shifted by the lines of the splits before,
     so a big file is never ordered in one task.
     """
     lines = spark.read.text(path).select(
         F.col("value").alias("content"),
+        F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("split"),
         F.monotonically_increasing_id().alias("m"),
     )
-    sizes = lines.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("first"))
-    before = F.coalesce(F.sum("n").over(W.orderBy("split").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("split", "first", before.alias("before"))
-    placed = lines.join(F.broadcast(starts), "split")  # one row per split of the file
+    sizes = lines.groupBy("file", "split").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("first"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("split").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("file", "split", "first", before.alias("before"))
+    placed = lines.join(F.broadcast(starts), ["file", "split"])  # one row per split of a file
     return placed.select((F.col("m") - F.col("first") + F.col("before") + 1).alias("line_number"), F.trim("content").alias("content"))
 
 

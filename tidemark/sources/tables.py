@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +28,38 @@ def scan_jdbc(spark: SparkSession, url: str, table: str, key: str, low: int, hig
     return spark.read.jdbc(url, table, column=key, lowerBound=low, upperBound=high, numPartitions=parts, properties=dict(options))
 
 
+def file_starts(spark: SparkSession, path: str) -> DataFrame:
+    """(file, before, n): rows of each Parquet file of a table, and rows in the files before it, by path.
+
+    Reads no column; the running sum orders one row per file.
+    """
+    files = spark.read.parquet(path).select(F.col("_metadata.file_path").alias("file")).groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return files.select("file", before.alias("before"), "n")
+
+
+def scan_batches(spark: SparkSession, path: str, size: int) -> DataFrame:
+    """All rows of a Parquet table with `batch`, 0-based: rows in file order are cut every `size` rows, without a sort or shuffle of them."""
+    rows = spark.read.parquet(path)
+    placed = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    starts = file_starts(spark, path).select(F.col("file").alias("_file"), F.col("before").alias("_before"))
+    numbered = placed.join(F.broadcast(starts), "_file")  # one row per file
+    return numbered.select(*rows.columns, F.floor((F.col("_before") + F.col("_at")) / size).alias("batch"))
+
+
+def scan_offset(spark: SparkSession, path: str, offset: int, limit: int) -> DataFrame:
+    """Rows from `offset` to before `offset + limit` in file order; only files that hold some of them are read."""
+    held = file_starts(spark, path).filter((F.col("before") < offset + limit) & (F.col("before") + F.col("n") > offset))
+    starts = {r["file"]: r["before"] for r in held.collect()}  # the files of one page
+    rows = spark.read.parquet(path)
+    if not starts:
+        return rows.limit(0)
+    rows = spark.read.schema(rows.schema).option("basePath", path).parquet(*starts)
+    before = F.try_element_at(F.create_map(*[F.lit(v) for pair in starts.items() for v in pair]), F.col("_metadata.file_path"))
+    at = before + F.col("_metadata.row_index")
+    return rows.filter((at >= offset) & (at < offset + limit))
+
+
 def to_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Known columns only, cast to the table's types; NaN becomes null, absent columns are null."""
     cols = []
