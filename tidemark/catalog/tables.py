@@ -4,17 +4,20 @@ Raw records are derived from the sample tables: padded texts, empty words, suffi
 columns, epoch times and repeated records, so that every cleaning rule has work to do.
 """
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemark.catalog.activity import stamp
 from tidemark.catalog.features import ITEM_BASE, USER_BASE, item_feats, user_feats
 from tidemark.catalog.registry import query
-from tidemark.functions.stage import stage
+from tidemark.functions.stage import stage, stage_dir
 from tidemark.inputs import interactions, items, load, raw, users
 from tidemark.operators import cf, cleaning, cooccurrence, joins, quality, sessions, validation
 from tidemark.operators import entity_features as E
 from tidemark.plans import etl
 from tidemark.sources import files, tables
+from tidemark.sources.buckets import BucketTable
 
 
 def raw_events(spark, d):
@@ -243,6 +246,18 @@ def _(spark, d):
     return tables.upsert(old, some.unionByName(more), ["user_id"])
 
 
+@query("bucket_upsert", """SELECT user_id, user_id AS id, CASE WHEN user_id % 3 = 0 THEN 'new-' || name ELSE name END AS name FROM users
+UNION ALL SELECT user_id + 1000000, user_id + 1000000, 'new-' || name FROM users WHERE user_id % 3 = 0""")
+def _(spark, d):
+    old = users(spark, d).select("user_id", F.col("user_id").alias("id"), "name")
+    some = old.filter("user_id % 3 = 0").withColumns({"name": F.concat(F.lit("new-"), "name"), "id": F.col("id") - 5})
+    more = some.withColumns({"user_id": F.col("user_id") + 1_000_000, "id": F.col("user_id") + 1_000_000})
+    table = BucketTable(spark, f"{stage_dir(spark)}/tidemark/users-{uuid.uuid4().hex}", old.schema, ["user_id"])
+    for part in (old, some, more):
+        table.upsert(part)
+    return table.read()
+
+
 @query("table_projection", "SELECT event_id AS id, CAST(user_id AS VARCHAR) AS user_id, CASE WHEN value > 20 THEN NULL ELSE value END AS value, CAST(NULL AS INT) AS extra FROM events")
 def _(spark, d):
     src = raw(spark, d, "events").select(

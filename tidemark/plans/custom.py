@@ -36,7 +36,7 @@ def recommend(
         raise ValueError(f"the scorer's rows lack {missing}")
     known = weights if users is None else weights.join(users.select("user_id"), "user_id", "left_semi")
     rows = made.select(*SCORED).filter("score IS NOT NULL").groupBy("user_id", "item_id").agg({"score": "sum"}).toDF(*SCORED)
-    rows = rows.join(known.select("user_id"), "user_id", "left_semi")
+    rows = rows.join(known.select("user_id"), "user_id", "left_semi").join(items.select("item_id"), "item_id", "left_semi")
     rows = rows.join(weights.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
     return contextual.finish(rows, items, min_score, k, exclude)
 
