@@ -1,6 +1,7 @@
 """Nearest users by cells and bounds against a comparison of all users."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,6 +53,52 @@ def test_vectors_travel_only_where_bounds_allow(spark):
     assert 2 * weights.count() + travelled < 5 * weights.count()
 
 
+def brute(a, b, metric, k, same):
+    side = neighbours.Side(a), neighbours.Side(b)
+    items = np.unique(np.concatenate([s.item for s in side]))
+    for s in side:
+        s.on(items)
+    x, y = (s.dense(0, s.n, len(items)) for s in side)
+    sums = {n: ((x**p * (x != 0)) @ (y**q * (y != 0)).T) for n, (p, q) in neighbours._products(metric).items()}
+    r, c = (z.ravel() for z in np.indices((len(x), len(y))))
+    sim = neighbours._values(metric, {n: v.ravel() for n, v in sums.items()}, *side, r, c).reshape(len(x), len(y))
+    out = []
+    for u in range(len(x)):
+        order = sorted((-sim[u, v], v) for v in range(len(y)) if sim[u, v] > 0 and not (same and u == v))
+        out += [(u, v, round(-s, 9)) for s, v in order[:k]]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("metric", [*neighbours.METRICS, "pearson"])
+@pytest.mark.parametrize("items, share", [(30, 0.5), (4_000, 0.005)])
+@pytest.mark.parametrize("same", [True, False])
+def test_kernel_keeps_the_best_in_small_steps(monkeypatch, metric, items, share, same):
+    rng = np.random.default_rng(3)
+
+    def table(n):
+        lists = [np.flatnonzero(rng.random(items) < share) for _ in range(n)]
+        weights = [rng.integers(1, 4, len(x)).astype(float) for x in lists]  # many ties
+        return pa.table({"user_id": np.arange(n), "items": pa.array(lists, pa.list_(pa.int64())), "ws": pa.array(weights, pa.list_(pa.float64()))})
+
+    a, b = table(150), table(210)
+    b = a if same else b
+    for name, value in (("SCORES", 3_000), ("CELLS", 2_000), ("PAIRS", 500)):
+        monkeypatch.setattr(neighbours, name, value)
+    calls = []
+    for name in ("_by_blocks", "_by_entries"):
+        run = getattr(neighbours, name)
+        monkeypatch.setattr(neighbours, name, lambda *x, run=run, name=name: (calls.append(name), run(*x)))
+    best, _, _ = neighbours.nearest(a, b, metric, 7, same=same)
+    assert calls == ["_by_entries" if items > 1_000 and metric != "euclidean" else "_by_blocks"]
+    got = sorted(zip(best.r.tolist(), best.c.tolist(), np.round(best.sim, 9).tolist()))
+    assert got == brute(a, b, metric, 7, same)
+
+
+def test_correlations_by_parts(spark):
+    weights = grouped(spark, 3, 120, 12, mixed=0.5).cache()
+    assert ranked(neighbours.everywhere(weights, 6, "pearson", tile=25), 6) == ranked(cf._all_tiles(weights, 6, "pearson"), 6)
+
+
 def test_no_users(spark):
     none = spark.createDataFrame([], "user_id long, item_id long, w double")
     assert cf.user_neighbours(none, 3).count() == 0
