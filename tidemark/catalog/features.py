@@ -7,6 +7,7 @@ from tidemark.catalog.registry import query
 from tidemark.functions import device as dev
 from tidemark.functions import skew, text, vectors
 from tidemark.functions import timefn as tf
+from tidemark.functions.stage import stage
 from tidemark.inputs import interactions, items, load, raw, users
 from tidemark.operators import activity as A
 from tidemark.operators import context, sessions, temporal
@@ -547,12 +548,15 @@ def _(spark, d):
     ts = F.col("ts")
     kinds = rows.groupBy("h", "w", "kind").agg(F.min("event_time").alias("ts"))
     vecs = kinds.select("h", "w", "kind", vectors.short_context_vector(ts, F.col("kind")).alias("short"), vectors.long_context_vector(ts, F.col("kind")).alias("long"))
-    joined = rows.join(F.broadcast(vecs), ["h", "w", "kind"]).join(items(spark, d).select("item_id", "embedding"), "item_id")
-    return joined.select(
-        "id",
-        F.array_join(F.transform("short", lambda x: F.round(x, 4)), ",").alias("short_vector"),
-        F.round(vectors.cosine(F.col("embedding"), vectors.fuse(F.col("embedding"), F.col("long"))), 5).alias("fused_match"),
-    )
+    # So does the match of an item with them: it is worked out once per item and kind, not once per event.
+    by = ["item_id", "h", "w", "kind"]
+    met = rows.select(*by).distinct().join(F.broadcast(vecs), ["h", "w", "kind"]).join(items(spark, d).select("item_id", "embedding"), "item_id")
+    # Written before the match: Spark may try to evaluate a Python function over lambda expressions by itself and fail.
+    fused = vectors.fuse(F.col("embedding"), F.col("long")).alias("fused")
+    shorts = F.array_join(F.transform("short", lambda x: F.round(x, 4)), ",").alias("short_vector")
+    ready = stage(met.select(*by, shorts, "embedding", fused), "context-vectors")
+    matches = ready.select(*by, "short_vector", F.round(vectors.cosine(F.col("embedding"), F.col("fused")), 5).alias("fused_match"))
+    return rows.join(stage(matches, "context-matches"), by).select("id", "short_vector", "fused_match")
 
 
 @query("nearest_items", """
