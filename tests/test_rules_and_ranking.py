@@ -158,3 +158,15 @@ def test_candidates_are_unseen(spark, sf):
     got = joins.candidates(users(spark, sf), items(spark, sf), seen, 5)
     assert got.join(seen.select("user_id", "item_id"), ["user_id", "item_id"], "left_semi").count() == 0
     assert got.groupBy("user_id").count().filter("count <> 5").count() == 0
+
+
+def test_short_lists_are_ordered_by_all_tasks(spark):
+    from tidemark.operators import rerank
+
+    rows = [(u, i, float(i % 7), "a" if i % 2 else "b") for u in range(40) for i in range(6)]
+    cands = spark.createDataFrame(rows, "user_id long, item_id long, score double, category string")
+    packed = rerank.pack(cands, "category")
+    # Small lists are not merged into few tasks ahead of the ordering, which takes the time.
+    assert packed.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    out = rerank.rerank(packed, "category_gap").collect()
+    assert len(out) == 240 and {r["place"] for r in out if r["user_id"] == 3} == set(range(1, 7))
