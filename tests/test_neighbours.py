@@ -102,3 +102,21 @@ def test_correlations_by_parts(spark):
 def test_no_users(spark):
     none = spark.createDataFrame([], "user_id long, item_id long, w double")
     assert cf.user_neighbours(none, 3).count() == 0
+
+
+def test_guests_meet_a_part_in_bounded_runs(monkeypatch):
+    rng = np.random.default_rng(4)
+
+    def table(first, n):
+        items = [np.sort(rng.choice(40, rng.integers(3, 20), replace=False)) for _ in range(n)]
+        ws = [rng.random(len(x)).round(2) + 0.1 for x in items]
+        return pa.table({"user_id": np.arange(first, first + n), "items": pa.array(items, pa.list_(pa.int64())), "ws": pa.array(ws, pa.list_(pa.float64()))})
+
+    guests, hosts, sizes = table(0, 130), table(1000, 90), []
+    whole = neighbours._meet("cosine", 5, "bigint")((0, 0, 0), guests, hosts)
+    inner = neighbours.nearest
+    monkeypatch.setattr(neighbours, "nearest", lambda g, *rest: sizes.append(g.num_rows) or inner(g, *rest))
+    monkeypatch.setattr(neighbours, "GUESTS", 25, raising=False)
+    parts = neighbours._meet("cosine", 5, "bigint")((0, 0, 0), guests, hosts)
+    assert parts.equals(whole) or parts.combine_chunks().equals(whole.combine_chunks())
+    assert max(sizes) <= 25 and sum(sizes) == 130
