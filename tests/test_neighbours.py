@@ -120,3 +120,43 @@ def test_guests_meet_a_part_in_bounded_runs(monkeypatch):
     parts = neighbours._meet("cosine", 5, "bigint")((0, 0, 0), guests, hosts)
     assert parts.equals(whole) or parts.combine_chunks().equals(whole.combine_chunks())
     assert max(sizes) <= 25 and sum(sizes) == 130
+
+
+def few_shared(spark, users=300, items=3_000):
+    rng = np.random.default_rng(6)
+    rows = [(u, int(i), float(rng.integers(1, 4))) for u in range(users) for i in rng.choice(items, rng.integers(1, 30), replace=False)]
+    return spark.createDataFrame(rows, "user_id long, item_id long, w double").cache()
+
+
+def test_a_pass_copies_the_vectors_a_bounded_number_of_times(spark, monkeypatch):
+    weights = few_shared(spark)
+    table = neighbours.vectors(weights).cache()
+    sides = []
+    spread = neighbours.skew.spread
+    monkeypatch.setattr(neighbours.skew, "spread", lambda df, *keys: sides.append(df.count()) or spread(df, *keys))
+    none = lambda group, a, b: pa.table({"n": pa.array([0], pa.int64())})
+    passes = list(neighbours.in_passes(table, 30, none, "n bigint"))
+    pairs = sum(meet().count() for meet in passes)
+    assert pairs == 30 * 30 and len(passes) > 5
+    assert max(a + b for a, b in zip(sides[::2], sides[1::2])) <= 1.2 * neighbours.PASS_COPIES * 300
+    sides.clear()
+    assert sum(meet().count() for meet in neighbours.in_passes(table, 30, none, "n bigint", halves=True)) == 30 * 31 / 2
+    assert max(a + b for a, b in zip(sides[::2], sides[1::2])) <= 1.2 * neighbours.PASS_COPIES * 300
+
+
+@pytest.mark.parametrize("metric", [*neighbours.METRICS, "pearson"])
+@pytest.mark.parametrize("few", [True, False])
+def test_all_pairs_are_added_up_in_parts(spark, metric, few):
+    weights = few_shared(spark, 120, 900) if few else grouped(spark, 3, 120, 12, mixed=0.5).cache()
+    whole = [r for r in cf._all_tiles(weights, 200, metric).collect() if r["user_id"] < r["other_id"] and r["sim"] > 0]
+    for tile in (None, 25):
+        s, n, m = neighbours.all_pairs(weights, metric, tile).agg(F.sum("s"), F.sum("n"), F.max("m")).first()
+        assert n == len(whole) and abs(s - sum(r["sim"] for r in whole)) < 1e-8 and m == pytest.approx(max(r["sim"] for r in whole), abs=1e-12)
+    row = cf.user_similarity_summary(weights, metric).first()
+    assert row["mean_sim"] == pytest.approx(s / n) and row["max_sim"] == pytest.approx(m)
+
+
+def test_no_pairs(spark):
+    for rows in ([], [(1, 1, 1.0)], [(1, 1, 1.0), (2, 2, 1.0)]):
+        row = cf.user_similarity_summary(spark.createDataFrame(rows, "user_id long, item_id long, w double")).first()
+        assert tuple(row) == (0.0, 0.0)

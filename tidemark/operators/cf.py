@@ -312,17 +312,9 @@ def _all_tiles(weights: DataFrame, k: int, metric: str) -> DataFrame:
 
 
 def user_similarity_summary(weights: DataFrame, metric: str = "cosine") -> DataFrame:
-    """Mean of the positive similarities of different users, and the largest; one row per tile pair is added up."""
-
-    def tally(ids_a, ids_b, sim, common, own: bool) -> list[pd.DataFrame]:
-        if own:
-            sim = np.triu(sim, 1)
-        up = sim > 0
-        return [pd.DataFrame({"s": [sim[up].sum()], "n": [float(up.sum())], "m": [sim.max(initial=0.0)]})]
-
-    parts = _compare_tiles(weights, metric, tally, "s double, n double, m double")
-    total = parts.agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.max("m").alias("max_sim"))
-    return total.select(F.when(F.col("n") > 0, F.col("s") / F.col("n")).otherwise(0.0).alias("mean_sim"), "max_sim")
+    """Mean of the positive similarities of different users, and the largest; all pairs, one row per pair of parts is added up."""
+    total = neighbours.all_pairs(weights, metric).agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.max("m").alias("max_sim"))
+    return total.select(F.when(F.col("n") > 0, F.col("s") / F.col("n")).otherwise(0.0).alias("mean_sim"), F.coalesce("max_sim", F.lit(0.0)).alias("max_sim"))
 
 
 def _compare_tiles(weights: DataFrame, metric: str, use: Callable[..., list[pd.DataFrame]], schema: str) -> DataFrame:
