@@ -128,6 +128,16 @@ def few_shared(spark, users=300, items=3_000):
     return spark.createDataFrame(rows, "user_id long, item_id long, w double").cache()
 
 
+@pytest.mark.parametrize("metric", ["cosine", "jaccard"])
+def test_users_who_share_few_items_meet_in_passes(spark, monkeypatch, metric):
+    weights = few_shared(spark)
+    table = neighbours.vectors(weights)
+    assert neighbours.sparse(table, metric) and not neighbours.sparse(neighbours.vectors(grouped(spark, 5, 260, 12)), metric)
+    monkeypatch.setattr(neighbours, "PART_ENTRIES", 400)
+    assert neighbours._grid(table, None) > 2 * neighbours.PASS_COPIES // 2
+    assert ranked(neighbours.candidates(weights, 7, metric), 7) == ranked(cf._all_tiles(weights, 7, metric), 7)
+
+
 def test_a_pass_copies_the_vectors_a_bounded_number_of_times(spark, monkeypatch):
     weights = few_shared(spark)
     table = neighbours.vectors(weights).cache()
