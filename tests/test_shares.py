@@ -120,3 +120,46 @@ def test_cells_do_not_depend_on_blocks(monkeypatch, matrix):
     monkeypatch.setattr(shares, "PAIRS", 30)
     got = cells()
     assert got[:3] == whole[:3] and np.allclose(got[3], whole[3])
+
+
+def test_similarities_travel_packed_and_in_both_directions(spark, monkeypatch):
+    monkeypatch.setattr(shares, "PACKED", 50)
+    rows = [(a, b, float(a + b) / 100) for a in range(1, 40) for b in range(a + 1, 40)]
+    packed = shares._packed(spark.createDataFrame(rows, "a int, b int, sim double"), 7).collect()
+    got = [(a, b, v) for r in packed for a, b, v in zip(r["a"], r["b"], r["v"]) if b % 7 == r["tile"]]
+    assert sorted(got) == sorted(rows + [(b, a, v) for a, b, v in rows])
+    assert len(packed) < len(got) / 4
+
+
+@pytest.mark.parametrize("weights", [W, {"user_cf": 0.0, "item_cf": 0.0, "popularity": 1.0}, {"user_cf": 1.0, "item_cf": 0.0, "popularity": 0.0}])
+def test_floors_leave_the_best_items(spark, monkeypatch, weights):
+    monkeypatch.setattr(shares, "TILE_SIMS", 400)
+    monkeypatch.setattr(shares, "USERS", 13)
+    model = model_of(grouped(spark, 3, 90, 40, mixed=0.3).cache())
+    monkeypatch.setitem(globals(), "W", weights)
+    users, items, user_cf, item_cf, pop, seen = dense(model)
+    found = P.component_scores(model, 4, None, weights)
+    rows = P.scoring.top_k(found.withColumn("score", sum(F.col(n) * w for n, w in weights.items())), 4).collect()
+    got = {(r["user_id"], r["item_id"], round(r["user_cf"], 8), round(r["item_cf"], 8)) for r in rows}
+    assert got == best(users, items, user_cf, item_cf, pop, seen, 4)
+
+
+def test_floor_is_what_the_kth_unseen_share_is_at_least():
+    u, share, held = np.repeat([0, 1, 2], 30), np.tile(np.arange(30.0), 3), np.array([5, 28, 0])
+    assert shares._floors(u, share, held, 4).tolist() == [21.0, 0.0, 26.0]  # the 9th and the 4th largest; the second user has too few
+
+
+def test_cells_below_the_floor_do_not_leave_a_task():
+    n = 60
+    a, b = (x.ravel() for x in np.indices((n, n)))
+    sims = {"a": a[a != b], "b": b[a != b], "v": np.where(b[a != b] < 50, 0.01, 0.9), "item_id": [None] * (n * n - n)}
+    rows = {"a": np.full(n, -1), "b": np.arange(n), "v": np.zeros(n), "item_id": np.arange(n).tolist()}
+    tile = shares._Tile(pa.table({c: pa.array([*sims[c], *rows[c]], t) for c, t in (("a", pa.int32()), ("b", pa.int32()), ("v", pa.float64()), ("item_id", pa.int64()))}))
+    lists = {"own": pa.array([[0, 1]] * 5, pa.list_(pa.int32())), "items": pa.array([[2]] * 5, pa.list_(pa.int32())), "shares": pa.array([[0.4]] * 5)}
+    people = pa.table({"user_id": np.arange(5), **lists})
+    every, some = (
+        sorted((int(x), int(y)) for r, c, *_ in shares._best_cells(t, tile, W, 30) for x, y in zip(r, c))
+        for t in (people, people.append_column("floor", pa.array([0.1] * 5)))
+    )
+    assert {c for _, c in every} > {2, 20, 32, 55}  # all the first places, and others among the best
+    assert {(u, c) for u, c in some if c > 32} == {(u, c) for u in range(5) for c in range(50, 60)}
