@@ -1,10 +1,12 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import types as T
 
 from tidemark.llm import pieces
 
@@ -51,3 +53,41 @@ def test_columns_of_a_table(docs):
     assert all(r["round_trip"] for r in trip.values()) and trip[2]["ids_sha256"] is None and trip[3]["n_tokens"] == 0
     assert trip[1]["decoded_sha256"] == hashlib.sha256(b"hello  world").hexdigest()
     assert pieces.round_trips(docs.limit(0)).count() == 0 and pieces.encoded(docs.limit(0)).count() == 0
+
+
+def test_tokens_do_not_depend_on_how_many_texts_are_held(spark, monkeypatch):
+    texts = [None if i % 11 == 5 else " ".join(f"word{i % 7}{j}" for j in range(i % 9)) for i in range(2_300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    got = {r["doc_id"]: r["tokens"] for r in pieces.encoded(df).collect()}
+    model = pieces.Pieces(pieces.MODEL)
+    assert len(got) == len(texts) and all(got[i] == (None if t is None else model.encode([t])[0].tolist()) for i, t in enumerate(texts))
+    held = []
+
+    class Counted(pieces.Pieces):
+        def encode(self, some):
+            held.append(len(some))
+            return super().encode(some)
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(2_300)), "text": texts})
+    frame = Rows(["doc_id", "text"])
+    monkeypatch.setattr(pieces, "Pieces", Counted)
+    pieces.encoded(frame)
+    assert sum(b.num_rows for b in frame.run(iter([batch]))) == 2_300 and max(held) <= 1_000
+
+
+class Rows:
+    """Stands for a table; keeps the function that mapInArrow gets."""
+
+    def __init__(self, columns):
+        self.columns = columns
+        self.schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
+
+    def __getitem__(self, name):
+        return name
+
+    def select(self, *names):
+        return self
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+        return self

@@ -27,6 +27,7 @@ from tidemark.llm.common import pick
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+ROWS = 1_000  # whose texts are Python strings at a time
 CACHED_WORDS = 600_000  # per task, about 200 bytes each; the cache starts anew when it is full
 
 
@@ -187,12 +188,14 @@ def encoded(docs: DataFrame, model_file: str = MODEL) -> DataFrame:
     def run(batches):
         pieces = Pieces(model_file)
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            for lo, hi in _parts([t or "" for t in texts]):
-                ids = pieces.encode([t or "" for t in texts[lo:hi]])
-                made = [None if t is None else i.astype(np.int32) for t, i in zip(texts[lo:hi], ids)]
-                part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(made, pa.list_(pa.int32()))], [*names, "tokens"])
+            for at in range(0, batch.num_rows, ROWS):
+                some = batch.slice(at, ROWS)
+                texts = some.column(some.num_columns - 1).to_pylist()
+                for lo, hi in _parts([t or "" for t in texts]):
+                    ids = pieces.encode([t or "" for t in texts[lo:hi]])
+                    made = [None if t is None else i.astype(np.int32) for t, i in zip(texts[lo:hi], ids)]
+                    part = some.slice(lo, hi - lo)
+                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(made, pa.list_(pa.int32()))], [*names, "tokens"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
     return kept.mapInArrow(run, f"{schema}, tokens array<int>" if schema else "tokens array<int>")
