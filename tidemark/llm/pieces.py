@@ -22,12 +22,12 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import pick
+from tidemark.llm.common import pick, release_memory
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-ROWS = 1_000  # whose texts are Python strings at a time
+ROWS = 250  # whose texts are Python strings at a time
 CACHED_WORDS = 600_000  # per task, about 200 bytes each; the cache starts anew when it is full
 
 
@@ -187,6 +187,7 @@ def encoded(docs: DataFrame, model_file: str = MODEL) -> DataFrame:
 
     def run(batches):
         pieces = Pieces(model_file)
+        release_memory()  # what loading the model took, and earlier steps of this worker
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 some = batch.slice(at, ROWS)
