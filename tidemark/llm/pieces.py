@@ -13,6 +13,7 @@ piece may follow another one exactly if merging the two together leaves both as
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 from functools import lru_cache
@@ -188,15 +189,20 @@ def encoded(docs: DataFrame, model_file: str = MODEL) -> DataFrame:
     def run(batches):
         pieces = Pieces(model_file)
         release_memory()  # what loading the model took, and earlier steps of this worker
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                some = batch.slice(at, ROWS)
-                texts = some.column(some.num_columns - 1).to_pylist()
-                for lo, hi in _parts([t or "" for t in texts]):
-                    ids = pieces.encode([t or "" for t in texts[lo:hi]])
-                    made = [None if t is None else i.astype(np.int32) for t, i in zip(texts[lo:hi], ids)]
-                    part = some.slice(lo, hi - lo)
-                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(made, pa.list_(pa.int32()))], [*names, "tokens"])
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, ROWS):
+                    some = batch.slice(at, ROWS)
+                    texts = some.column(some.num_columns - 1).to_pylist()
+                    for lo, hi in _parts([t or "" for t in texts]):
+                        ids = pieces.encode([t or "" for t in texts[lo:hi]])
+                        made = [None if t is None else i.astype(np.int32) for t, i in zip(texts[lo:hi], ids)]
+                        part = some.slice(lo, hi - lo)
+                        yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(made, pa.list_(pa.int32()))], [*names, "tokens"])
+        finally:
+            pieces = None
+            gc.collect()  # the model and its caches refer to each other
+            release_memory()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
     return kept.mapInArrow(run, f"{schema}, tokens array<int>" if schema else "tokens array<int>")
